@@ -188,8 +188,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     banded = sets.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = written(banded.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    # Signatures travel only with members of shared buckets.
+    shared = written(banded.join(buckets, ["band", "key"]), "members")
     members = (
-        sets.select("rep", "n", "copies", "sig", F.posexplode("bands").alias("band", "key")).join(buckets, ["band", "key"])
+        shared.join(sets.select("rep", "n", "copies", "sig"), "rep")
         .withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("band", "key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rep", "n", "copies", "sig")
