@@ -189,9 +189,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     buckets = written(banded.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     # Signatures travel only with members of shared buckets.
-    shared = written(banded.join(buckets, ["band", "key"]), "members")
+    shared = written(banded.join(buckets.hint("merge"), ["band", "key"]), "members")
     members = (
-        shared.join(sets.select("rep", "n", "copies", "sig"), "rep")
+        shared.join(sets.select("rep", "n", "copies", "sig").hint("merge"), "rep")
         .withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("band", "key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rep", "n", "copies", "sig")
@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             yield pd.DataFrame({"rep": pdf["doc_id"], "set": [shingles(t).tobytes() for t in pdf["text"]]})
 
     reps = wanted.select("rep").distinct()
-    texts = docs.select("doc_id", "text").join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
+    # Both sides of these joins grow with the documents: merged at every size, never broadcast.
+    texts = docs.select("doc_id", "text").join(reps.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
     contents = texts.mapInPandas(shingle_sets, "rep long, set binary").dropDuplicates(["rep"])
 
     def links(batches):
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             at = np.flatnonzero(count)
             yield pd.DataFrame({"rep": rep[at], "links": count[at], "root": [find(x) for x in rep[at].tolist()]})
 
-    verified = wanted.join(contents, "rep").repartition(*_KEY).sortWithinPartitions(*_KEY).mapInPandas(links, "rep long, links long, root long")
+    verified = wanted.join(contents.hint("merge"), "rep").repartition(*_KEY).sortWithinPartitions(*_KEY).mapInPandas(links, "rep long, links long, root long")
     verified = written(verified, "links")
     counts = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")))
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     )
     none = F.lit(0).cast("long")
     return (
-        sketched.where("n > 0").select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "class_id", "n_links", "n_copies")
+        sketched.where("n > 0").select("doc_id", "s1", "s2").join(classes.hint("merge"), ["s1", "s2"]).select("doc_id", "class_id", "n_links", "n_copies")
         .unionByName(sketched.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_copies")))
     )
 
