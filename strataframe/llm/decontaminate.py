@@ -96,7 +96,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     Returns doc_id, item_id, the best similarity and the word at which the first such stretch starts. Null and empty texts,
     and items of fewer than five words, have no shingles and match nothing. Repeated rows count once; a null doc_id is kept.
     """
-    items = _items(benchmark)
+    items = written(_items(benchmark), "items")
     per_class = [(m, w, s, (m, above)) for (m, w, s), above in zip(CLASSES, [1 << 30, *(c[0] for c in CLASSES)])]
     sized = F.size("__s")
     present = items.select(F.coalesce(*[F.when(sized >= m, F.lit(w)) for m, w, _ in CLASSES]).alias("w")).distinct().collect()  # 4 rows at most
@@ -107,23 +107,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     for m, w, s, (low, above) in per_class:
         own = F.when((sized >= low) & (sized < above), F.sequence(F.lit(w), 16 * (sized - w) + w, F.lit(16))).otherwise(own)
     index = _fingerprints(items.withColumn("code", F.explode(own)))
-    index = _blocks(index).select("key", F.col("fp").alias("__fp"), F.col("__n").alias("__m"), F.col("__p").alias("__off"), "item_id", F.size("__s").alias("__len"), "weights", "w0")
+    index = _blocks(index).select("key", F.col("fp").alias("__fp"), F.col("__n").alias("__m"), F.col("__p").alias("__off"), "item_id", F.size("__s").alias("__len"))
     index = written(index, "item-windows")
     n_index = index.count()
     # The index grows with the benchmark only; it is sent to all executors only below a checked number of rows.
-    index = F.broadcast(index) if n_index <= BROADCAST_ROWS else index
+    weighted = items.select("item_id", "weights", "w0")
+    if n_index <= BROADCAST_ROWS:
+        index, weighted = F.broadcast(index), F.broadcast(weighted)
     windows = _shingled(docs.select("doc_id", "text").where("text is not null"), "text").select("doc_id", "__s")
     windows = _blocks(_fingerprints(windows.withColumn("code", F.explode(_codes(classes)))))
     found = windows.join(index, "key").where((F.col("__n") == F.col("__m")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("__fp"))) <= RADIUS))
     start = F.greatest(F.lit(0), F.col("__p") - F.col("__off"))
     stretch = F.array_distinct(F.slice("__s", start + 1, F.col("__len")))
-    found = found.select("doc_id", "item_id", start.alias("word"), stretch.alias("__d"), "weights", "w0")
+    found = found.select("doc_id", "item_id", start.alias("word"), stretch.alias("__d")).join(weighted, "item_id")
     mine = F.filter("weights", lambda x: F.array_contains("__d", x["h"]))
     found = found.select("doc_id", "item_id", "word", mine.alias("__both"), F.size("__d").alias("__size"), "weights", "w0")
     add = lambda a, x: a + x["w"]
     found = found.select("doc_id", "item_id", "word", F.aggregate("__both", F.lit(0.0), add).alias("both"), F.aggregate("weights", F.lit(0.0), add).alias("whole"), ((F.col("__size") - F.size("__both")) * F.col("w0")).alias("other"))
-    found = found.withColumn("similarity", F.col("both") / (F.col("whole") + F.col("other"))).where(F.col("similarity") >= similarity - 1e-9)
-    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min("word").alias("word"))
+    found = found.withColumn("similarity", F.col("both") / (F.col("whole") + F.col("other")))
+    # Filtered after the grouping: a filter before it would move into the join and take that out of generated code.
+    enough = F.col("similarity") >= similarity - 1e-9
+    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min(F.when(enough, F.col("word"))).alias("word")).where(enough)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
