@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EULER_GAMMA = 0.5772156649015329
 #: The coefficients of Acklam's rational approximation of the normal quantile, and its break point.
@@ -22,10 +23,14 @@ def norm_cdf(x: float) -> float:
     return math.erfc(-x / math.sqrt(2.0)) / 2.0
 
 
-@F.pandas_udf("double")
-def norm_cdf_col(x: pd.Series) -> pd.Series:
+def norm_cdf_col(x: Column) -> Column:
     """F1 over a column: Spark has no error function. Meant for reports of few rows."""
-    return x.map(lambda v: None if pd.isna(v) else norm_cdf(v))
+
+    @F.pandas_udf(T.DoubleType())
+    def cdf(v: pd.Series) -> pd.Series:
+        return v.map(lambda a: None if pd.isna(a) else math.erfc(-a / math.sqrt(2.0)) / 2.0)
+
+    return cdf(x)
 
 
 def _poly(x: Column, coefficients, last: float | None = None) -> Column:
