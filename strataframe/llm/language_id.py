@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -102,10 +103,15 @@ class LanguageTree:
 
 def train_language_tree(docs: DataFrame, sample: int = SAMPLE, families: dict[str, str] | None = None) -> LanguageTree:
     """Learn from text and lang of at most `sample` rows of each language, chosen by hash; rows without either are left out."""
-    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
+    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").withColumn("__t", F.xxhash64("text"))
     langs = sorted(r[0] for r in rows.groupBy("lang").count().collect())
-    parts = [rows.where(F.col("lang") == x).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "lang") for x in langs]
-    got = [r for p in parts for r in p.collect()]
+    # Chosen by keys alone, so that no task sends texts that are not in the sample.
+    keys = [rows.where(F.col("lang") == x).select("lang", "doc_id", "__t").orderBy(F.xxhash64("doc_id"), "doc_id", "__t").limit(sample) for x in langs]
+    if not keys:
+        return LanguageTree({}, [], [])
+    chosen = F.broadcast(reduce(DataFrame.unionByName, keys).distinct())  # at most `sample` rows a language
+    got = rows.join(chosen.withColumnRenamed("doc_id", "__id"), ["lang", "__t"]).where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "lang").collect()
+    got = sorted(got, key=lambda r: (r["lang"], r["text"]))
     return LanguageTree.fit([r["text"] for r in got], [r["lang"] for r in got], families)
 
 

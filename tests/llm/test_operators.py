@@ -1,0 +1,359 @@
+"""Each corpus operator against plain Python on small tables: nulls, empty and long texts, ties, repeats, clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from strataframe.llm import common
+from strataframe.llm.components import components
+from strataframe.llm.decontaminate import contaminated, decontaminate
+from strataframe.llm.jaccard_join import least_matches, near_duplicates
+from strataframe.llm.language_id import identify_languages, train_language_tree
+from strataframe.llm.line_dedup import line_dedup
+from strataframe.llm.packing import best_fit_pack, pack_documents, plan_slots, token_pieces
+from strataframe.llm.quality import LineField, base_counts, quality_rules, repeated_words, train_line_field
+from strataframe.llm.substring_dedup import chunk_ends, cut_spans, repeated_spans
+from strataframe.llm.surrogates import pseudonymise, surrogate_units
+from strataframe.llm.token_counts import SegmentTree, apply_edits, edited_counts, standard_edits
+from strataframe.llm.toxicity import score_toxicity, train_toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+RNG = random.Random(5)
+VOCAB = ["".join(RNG.choice("bdfgklmnprst") + RNG.choice("aeiou") for _ in range(RNG.randint(2, 4))) for _ in range(3000)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCAB) for _ in range(n))
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null id, null and empty text, a repeated row, a very long text, and a clashing extra column."""
+    rows = [(None, prose(30, 1)), (1, None), (2, ""), (3, prose(40, 2)), (3, prose(40, 2)), (4, prose(20000, 3)), (5, " \n\t "), (6, "x" * 50000)]
+    return docs(spark, rows).selectExpr("*", "1 as n_lines", "'a' as kept", "2 as piece", "3 as band")
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_line_dedup(spark, odd):
+    long = "A Common Line that is longer than forty characters indeed"
+    rows = [(i, f"own {i}\n  {long if i % 2 else long.lower()}\t\n{long}\nend") for i in range(6)] + [(None, long)]
+    out = {r["doc_id"]: r for r in line_dedup(docs(spark, rows)).collect()}
+    assert out[5]["text"] == rows[5][1] and out[5]["n_dropped"] == 0
+    assert out[0]["text"] == "own 0\nend" and out[0]["n_dropped"] == 2 and out[0]["n_lines"] == 4
+    assert out[None]["text"] == "" and out[None]["n_dropped"] == 1
+    same = line_dedup(odd)
+    assert same.count() == odd.count() and {r["n_dropped"] for r in same.collect()} == {0}
+    assert {r["n_lines"] for r in same.where("doc_id in (1, 2)").collect()} == {1}
+    assert line_dedup(empty(spark)).count() == 0
+
+
+def test_line_dedup_brute_force(spark):
+    r = random.Random(3)
+    pool = [prose(8, k) for k in range(12)]
+    rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.5 else prose(7, 1000 * i + j) for j in range(9))) for i in range(40)]
+    holders = {}
+    for i, t in rows:
+        for line in t.split("\n"):
+            if len(line.strip()) >= 40:
+                holders.setdefault(line.strip().lower(), set()).add(i)
+    want = {i: "\n".join(x for x in t.split("\n") if len(h := holders.get(x.strip().lower(), ())) < 5 or max(h) == i) for i, t in rows}
+    assert {x["doc_id"]: x["text"] for x in line_dedup(docs(spark, rows)).collect()} == want
+
+
+def test_packing_plan():
+    r = random.Random(1)
+    for _ in range(20):
+        histogram = {r.randint(1, 50): r.randint(1, 40) for _ in range(r.randint(1, 20))}
+        used, placed = {}, {}
+        for length, rank, n, each, first, offset in plan_slots(histogram, 50):
+            for j in range(n):
+                placed.setdefault(length, set()).add(rank + j)
+                used.setdefault(first + j // each, []).append((offset + j % each * length, length))
+        assert {k: len(v) for k, v in placed.items()} == histogram
+        for parts in used.values():
+            end = 0
+            for at, length in sorted(parts):
+                assert at == end
+                end += length
+            assert end <= 50
+        assert sorted(used) == list(range(len(used)))
+
+
+def test_packing(spark, odd):
+    path = common.word_tokenizer_path()
+    out = pack_documents(odd, path).collect()
+    tok = common._tokenizer(path)
+    want = []
+    for r in odd.select("doc_id", "text").collect():
+        ids = tok.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        want += [(r["doc_id"], k, 2048 * k, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for k, p in enumerate(ids[a : a + 2048] for a in range(0, len(ids), 2048))]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted([tuple(r)[:5] for r in out], key=key) == sorted(want, key=key)
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        assert [a for a, _ in sorted(parts)] == list(np.cumsum([0] + [n for _, n in sorted(parts)])[:-1]) and sum(n for _, n in parts) <= 2048
+    assert pack_documents(empty(spark), path).count() == 0
+
+
+def test_packing_one_length_in_many_parts(spark):
+    rows = spark.createDataFrame([(i // 2, 0, 7, 1) for i in range(3000)], "doc_id long, piece int, length long, ids_crc32 long")
+    out = best_fit_pack(rows, 20, 37).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in out}) == 3000 and len({r["sequence_id"] for r in out}) == 1500
+
+
+@pytest.mark.parametrize("text", ["", " ", "a b", "Hello\x1cWorld  it's 12345 <|endoftext|> é é x!!??", "it 's\n\n\tI'LL don't x", "ß 漢字かな 1½² ퟿"])
+def test_word_encoder(text):
+    path = common.word_tokenizer_path()
+    want = common._tokenizer(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(common.WordEncoder(path).encode([text])[0], "<u4").tolist() == want
+
+
+def test_token_counts(spark, odd):
+    tok = common._tokenizer(common.word_tokenizer_path())
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    for r in edited_counts(odd, common.word_tokenizer_path()).collect():
+        assert r["n_reencoded"] <= 3 * r["n_edits"]
+    enc, r = common.WordEncoder(common.word_tokenizer_path()), random.Random(2)
+    for _ in range(30):
+        text = "".join(r.choice("ab  \n1!é") for _ in range(r.randint(0, 200)))
+        tree = SegmentTree(text, enc, 16)
+        assert tree.count == count(text)
+        for _ in range(12):
+            a = r.randint(0, len(text))
+            b = min(len(text), a + r.choice([0, 0, 1, 3, 30]))
+            new = "".join(r.choice("ab 1\n") for _ in range(r.choice([0, 1, 5, 40])))
+            tree.replace(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert "".join(tree.parts) == text and tree.count == count(text)
+    text = prose(50, 9) + " 123456 tail"
+    assert apply_edits(text, standard_edits(text)).endswith("0 ")
+    assert edited_counts(empty(spark), common.word_tokenizer_path()).count() == 0
+
+
+def brute_base(text):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    hit = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 5)}
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_base(spark, odd):
+    r = random.Random(4)
+    for _ in range(60):
+        text = "".join(r.choice(["a ", "b ", "c ", "#\n", "x\x1c", " ", "d\n"]) for _ in range(r.randint(0, 80)))
+        assert tuple(base_counts(text)[1].values()) == brute_base(text)
+    assert repeated_words(np.zeros(8, np.int64)) == 8
+    out = quality_rules(odd, None).collect()
+    assert len(out) == odd.count() and {x["kept"] for x in out if x["doc_id"] in (1, 2, 5)} == {False}
+    assert quality_rules(empty(spark), None).count() == 0
+
+
+def test_viterbi_is_the_best_path():
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        field, x = LineField(r.normal(size=(12, 2)), r.normal(size=(2, 2))), r.normal(size=(6, 12))
+        s = x @ field.emit
+        best = max(np.ndindex(*[2] * 6), key=lambda p: sum(s[t, y] for t, y in enumerate(p)) + sum(field.move[a, b] for a, b in zip(p, p[1:])))
+        assert tuple(field.viterbi(x)) == best
+
+
+def test_quality_learns_boilerplate(spark):
+    rows, labels = [], []
+    for i in range(120):
+        bad = i % 3 == 0
+        rows.append((i, "\n".join(" | ".join(prose(5, 50 * i + j).split()) if bad else prose(12, 50 * i + j).capitalize() + "." for j in range(5))))
+        labels.append((i, int(not bad)))
+    d, lab = docs(spark, rows), spark.createDataFrame(labels + [(None, 1), (7777, None)], "doc_id long, quality int")
+    field = train_line_field(d.where("doc_id < 80"), lab)
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules(d, field).collect()}
+    assert all(kept[i] == (i % 3 != 0) for i in range(80, 120))
+    assert train_line_field(d, lab.where("quality = 1")) is None
+
+
+def test_language_id(spark, odd, sf_dir):
+    table = common.table(spark, sf_dir, "documents")
+    tree = train_language_tree(table.where("doc_id % 2 = 0"))
+    got = identify_languages(table.where("doc_id % 2 = 1"), tree).join(table, "doc_id").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.95 * len(got) and all(0 <= r["score"] <= 1 for r in got)
+    out = {(r["doc_id"], r["lang_pred"], r["score"]) for r in identify_languages(odd, tree).where("doc_id in (1, 2, 5)").collect()}
+    assert out == {(1, "und", 0.0), (2, "und", 0.0), (5, "und", 0.0)}
+    assert identify_languages(odd, train_language_tree(empty(spark))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_toxicity(spark, odd):
+    rows = [(i, prose(60, i) + (" vilebad " if i % 3 == 0 else " ") + prose(40, 10_000 + i)) for i in range(300)]
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    net, limits = train_toxicity(docs(spark, rows[:200]), lab)
+    out = {r["doc_id"]: r for r in score_toxicity(docs(spark, rows), net, limits).collect()}
+    assert sum(out[i]["predicted"] == (i % 3 == 0) for i in range(200, 300)) >= 95
+    assert all(0 <= r["score"] <= 1 for r in score_toxicity(odd, net, limits).collect())
+    net, limits = train_toxicity(empty(spark), lab)
+    assert net is None and {r["score"] for r in score_toxicity(odd, net, limits).collect()} == {0.0}
+
+
+def test_chunks_resist_shifts():
+    text = prose(400, 1).encode()
+    a, b = chunk_ends(text), chunk_ends(b"something new here " + text) - 19
+    assert a[-1] == len(text) and len(set(a) & set(b)) >= 0.95 * len(a)
+    assert chunk_ends(b"").size == 0 and chunk_ends("é".encode() * 100)[-1] == 200
+
+
+def test_substring_dedup(spark, odd):
+    shared = prose(60, 77)
+    rows = [(1, prose(50, 1) + " " + shared + " " + prose(30, 2)), (2, shared + " " + prose(40, 3)), (3, prose(80, 4)), (None, prose(9, 5) + " " + shared), (9, None), (10, "")]
+    d = docs(spark, rows)
+    spans = repeated_spans(d)
+    got = {r["doc_id"]: r for r in spans.collect()}
+    assert set(got) == {2, None} and all(r["first_doc_id"] == 1 for r in got.values())
+    text = dict(rows)
+    for i, r in got.items():
+        assert text[i][r["start"] : r["start"] + r["length"]] in shared and r["length"] > 0.6 * len(shared)
+    cut = {r["doc_id"]: r["text"] for r in cut_spans(d, spans).collect()}
+    r = got[2]
+    assert cut[2] == text[2][: r["start"]] + text[2][r["start"] + r["length"] :] and cut[1] == text[1] and cut[9] is None
+    assert repeated_spans(odd).count() == 0 and repeated_spans(empty(spark)).count() == 0
+
+
+def brute_sets(rows):
+    out = {}
+    for i, t in rows:
+        w = re.findall(r"\w+", (t or "").lower())
+        out[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+def test_jaccard_join(spark, odd):
+    r, rows = random.Random(8), []
+    for g in range(12):
+        base = prose(90, g).split()
+        for _ in range(r.choice([1, 2, 25])):
+            w = list(base)
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+                w[r.randrange(len(w))] = r.choice(VOCAB)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(500, "two words"), (501, "Two, words!"), (502, ""), (503, None), (504, "!!")]
+    sets, ids = brute_sets(rows), [i for i, _ in rows]
+    links, root = dict.fromkeys(ids, 0), {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links[a], links[b] = links[a] + 1, links[b] + 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    out = {r["doc_id"]: r for r in near_duplicates(docs(spark, rows)).collect()}
+    assert {i: (out[i]["class_id"], out[i]["n_links"]) for i in ids} == {i: (find(i), links[i]) for i in ids}
+    assert near_duplicates(odd).count() == odd.count() and near_duplicates(empty(spark)).count() == 0
+    assert near_duplicates(odd).where("doc_id is null").first()["class_id"] is None
+
+
+def test_pruning_table():
+    steps = least_matches()
+    assert all(0 <= m < 0.8 * n for n, m in steps) and [m for _, m in steps] == sorted(m for _, m in steps)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (5, 5), (None, 3)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_decontamination(spark, odd):
+    items = [(k, prose(n, 900 + k)) for k, n in enumerate([5, 8, 13, 20, 26, 45, 70, 3])] + [(50, None), (51, "")]
+    text = dict(items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, prose(37, k) + " " + text[k].upper().replace(" ", ", ") + "\n" + prose(11, 100 + k)) for k in range(7)]
+    words = text[6].split()
+    edited = " ".join(words[:40] + ["changed"] + words[41:])
+    rows += [(20, prose(30, 20) + " " + edited + " " + prose(5, 21)), (21, prose(200, 22)), (22, text[6][: len(text[6]) // 2]), (None, "a " + text[4]), (23, text[7])]
+    got = {(r["doc_id"], r["item_id"]): r for r in contaminated(docs(spark, rows), bench).collect()}
+    assert set(got) == {*((k, k) for k in range(7)), (20, 6), (None, 4)} - ({(20, 6)} if 61 / 71 < 0.8 else set())
+    assert got[(3, 3)]["similarity"] == 1.0 and got[(3, 3)]["word"] == 37
+    kept = {r["doc_id"] for r in decontaminate(docs(spark, rows), bench).collect()}
+    assert kept == {21, 22, 23}
+    assert contaminated(odd, bench).count() == 0 and decontaminate(odd, bench).count() == odd.count()
+    assert contaminated(docs(spark, rows), bench.where("item_id > 40")).count() == 0 and contaminated(empty(spark), bench).count() == 0
+
+
+def test_decontamination_brute_force(spark):
+    r = random.Random(12)
+    items = [(k, prose(r.randint(7, 60), 300 + k)) for k in range(25)]
+    rows = []
+    for i in range(120):
+        w = dict(items)[i % 25].split()
+        for _ in range(r.choice([0, 1, 2])):
+            cut = r.choice(["head", "tail", "mid"])
+            if cut == "head":
+                w = w[r.randint(0, 3) :]
+            elif cut == "tail":
+                w = w[: len(w) - r.randint(0, 3)]
+            else:
+                w[r.randrange(len(w))] = "other"
+        rows.append((i, prose(r.randint(0, 30), i) + " " + " ".join(w) + " " + prose(r.randint(0, 30), 7000 + i)))
+    want = set()
+    for i, t in rows:
+        d = t.split()
+        for k, it in items:
+            w = it.split()
+            s = {tuple(w[a : a + 5]) for a in range(len(w) - 4)}
+            for at in range(max(1, len(d) - len(w) + 1)):
+                g = {tuple(d[a : a + 5]) for a in range(at, min(at + len(s), len(d) - 4))}
+                if g and len(s & g) >= 0.8 * len(s | g):
+                    want.add((i, k))
+                    break
+    assert {(x["doc_id"], x["item_id"]) for x in contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()} == want
+
+
+def test_surrogates(spark, odd):
+    a = "Mr. John Smith wrote to ann.b@site.org and 4111 1111 1111 1111. Later Mr. Smith called +1 (974) 555-3436 from 10.0.0.7; 123-45-6789."
+    b = "Frau Anna Meier, ann.b@site.org, bob@site.org, господин Иванов, " + "0123456789abcdef" * 2
+    rows = [(1, a), (2, b), (2, b), (3, None), (4, ""), (5, "no data here, call Mr Right now"), (6, "a" * 300 + "@")]
+    out = pseudonymise(docs(spark, rows).selectExpr("*", "1 as n_entities", "2 as entity")).collect()
+    t = {r["doc_id"]: r["text"] for r in out}
+    assert len(out) == 7 and t[3] is None and t[4] == "" and t[6] == rows[6][1]
+    for secret in ("John", "Smith", "ann.b@site.org", "bob@site.org", "4111", "555-3436", "10.0.0.7", "123-45-6789", "Meier", "Anna", "Иванов", "0123456789abcdef"):
+        assert secret not in t[1] + t[2]
+    mails = re.findall(r"[\w.]+@[\w.]+\w", t[1] + " " + t[2])
+    assert len(mails) == 3 and mails[0] == mails[1] != mails[2] and "." in mails[0].split("@")[0]
+    names = re.findall(r"Mr\. (?:(\w+) )?(\w+) (?=wrote|called)", t[1])
+    assert names[0][1] == names[1][1] and names[0][0].endswith("rd") and re.search(r"Frau \w+na \w+son,", t[2])
+    card = re.search(r"(\d{4} ){3}\d{4}", t[1])[0].replace(" ", "")
+    assert sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(card)) % 10 == 0
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", t[1]) and re.search(r"господин [а-я]+", t[2], re.I)
+    ip = re.search(r"\d+\.\d+\.\d+\.\d+", t[1])[0]
+    assert all(int(x) < 256 for x in ip.split("."))
+    assert pseudonymise(docs(spark, rows), "other").where("doc_id = 1").first()["text"] != t[1]
+    assert pseudonymise(odd).where("n_entities > 0").count() == 0 and pseudonymise(empty(spark)).count() == 0
+
+
+def test_surrogates_collide_and_stay_apart(spark):
+    units = spark.createDataFrame([("ssn", f"000-00-{i:04d}") for i in range(300)] + [("secret", f"{i:x}") for i in range(4)], "kind string, unit string")
+    out = surrogate_units(units, "k").collect()
+    assert len(out) == 304 and len({(r["kind"], r["surrogate"]) for r in out}) == 304
+    assert not {(r["kind"], r["surrogate"]) for r in out} & {(r["kind"], r["unit"]) for r in out}
+
+
+def test_pieces_digest(spark):
+    r = token_pieces(docs(spark, [(1, "")]), common.word_tokenizer_path()).first()
+    assert tuple(r) == (1, 0, 0, 1, zlib.crc32(b"\0\0\0\0")) and hashlib.sha256(b"").hexdigest()
