@@ -90,6 +90,15 @@ _PLAIN = re.compile("[!-~\xa1-\u012f]+")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 
+#: What keeps a text from being lower-cased and split as a whole: other blanks, and characters outside the plain range.
+_NOT_PLAIN = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u0130-\\U0010ffff]|<\\|")
+
+
+def _words(text: str) -> list[str]:
+    """ascii_words(), lower-cased already where the tokenizer would do exactly that."""
+    return ascii_words(text) if _NOT_PLAIN.search(text) else text.lower().split()
+
+
 class WordEncoder:
     """Ids by words between ASCII blanks, each encoded once while it is remembered.
 
@@ -146,7 +155,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        lists = [ascii_words(t) for t in texts]
+        lists = [_words(t) for t in texts]
         found = [list(map(self.known.get, ws)) for ws in lists]
         open_ = [i for i, ids in enumerate(found) if None in ids]
         new = {w for i in open_ for w, x in zip(lists[i], found[i]) if x is None}
