@@ -171,9 +171,9 @@ def throttled(weights: DataFrame, limit: float = 0.4, by: Keys = ()) -> DataFram
         out = pd.DataFrame(rows, index=wide.index, columns=wide.columns).rename_axis(index="date", columns="ticker").stack().rename("w").reset_index()
         return out.assign(**{k: pdf[k].iloc[0] for k in by})[[*by, "ticker", "date", "w"]]
 
-    keys = list(by)
-    grouped = weights.select(*by, "ticker", "date", "w").groupBy(*keys) if keys else weights.select("ticker", "date", "w").groupBy(F.lit(1))
-    return grouped.applyInPandas(hold, schema)
+    keys = list(by) or ["__all"]
+    rows = weights.select(*by, "ticker", "date", "w")
+    return (rows if by else rows.withColumn("__all", F.lit(1))).groupBy(*keys).applyInPandas(hold, schema)
 
 
 SIGNALS: dict[str, Callable[..., DataFrame]] = {
