@@ -137,8 +137,15 @@ class WordEncoder:
         known = self.known
         cut, whole = {}, []
         for w in new:
+            # Most are plain letters, perhaps with one other character after them; isalpha() is the letter class there.
             if _PLAIN.fullmatch(w) and "<|" not in w:
-                cut[w] = _PIECE.findall(w.lower())
+                low = w.lower()
+                if low.isalpha():
+                    cut[w] = (low,)
+                elif (head := low[:-1]).isalpha() and not low[-1].isalpha():
+                    cut[w] = (head, low[-1])
+                else:
+                    cut[w] = _PIECE.findall(low)
             else:
                 whole.append(w)
         missing = {p for ps in cut.values() for p in ps if p not in self.pieces}
@@ -148,7 +155,7 @@ class WordEncoder:
         self._encode_pieces(list(missing))
         pieces = self.pieces
         for w, ps in cut.items():
-            known[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+            known[w] = pieces[ps[0]] if len(ps) == 1 else pieces[ps[0]] + pieces[ps[1]] if len(ps) == 2 else b"".join([pieces[p] for p in ps])
         if whole:
             for w, e in zip(whole, self.tok.encode_batch(whole, add_special_tokens=False)):
                 known[w] = np.array(e.ids, "<u4").tobytes()
@@ -159,8 +166,9 @@ class WordEncoder:
         found = [list(map(self.known.get, ws)) for ws in lists]
         open_ = [i for i, ids in enumerate(found) if None in ids]
         new = {w for i in open_ for w, x in zip(lists[i], found[i]) if x is None}
-        if len(self.known) + len(new) > self.remember:
-            self.known.clear()
+        if len(self.known) + len(new) > self.remember:  # the words of this batch stay: they are mostly the common ones
+            known = self.known
+            self.known = {w: known[w] for w in {w for ws in lists for w in ws} if w in known}
         self._add(new)
         known = self.known
         for i in open_:
