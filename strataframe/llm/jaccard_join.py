@@ -60,11 +60,13 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
+    """The low 16 bits of the least value under each hash; four of them, a band, are one 64-bit key as they stand, so
+    that bands are equal exactly where their parts of two signatures are."""
     out = np.full(HASHES, 2**32 - 1, np.uint32)
     for at in range(0, len(shingles), 4096):
         part = (shingles[at : at + 4096, None] * _A + _B) >> np.uint64(32)
         out = np.minimum(out, part.min(0).astype(np.uint32))
-    return out
+    return out.astype("<u2")
 
 
 def least_matches(similarity: float = SIMILARITY, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -93,8 +95,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     continue
                 s1, s2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
                 sig = signature(s)
-                bands = np.frombuffer(b"".join([xxhash.xxh3_64_digest(sig[k : k + ROWS].tobytes()) for k in range(0, HASHES, ROWS)]), "<i8")
-                rows.append((int(doc), s1, s2, len(s), sig.astype("<u2").tobytes(), bands))
+                rows.append((int(doc), s1, s2, len(s), sig.tobytes(), np.frombuffer(sig.tobytes(), "<i8")))
             yield pd.DataFrame(rows, columns=["doc_id", "s1", "s2", "n", "sig", "bands"]).astype({"doc_id": "Int64"})
 
     small_batches(docs.sparkSession)

@@ -11,7 +11,7 @@ import pytest
 from strataframe.llm import common
 from strataframe.llm.components import components
 from strataframe.llm.decontaminate import contaminated, decontaminate
-from strataframe.llm.jaccard_join import least_matches, near_duplicates
+from strataframe.llm.jaccard_join import BANDS, ROWS, _sketches, least_matches, near_duplicates, signature
 from strataframe.llm.language_id import identify_languages, train_language_tree
 from strataframe.llm.line_dedup import line_dedup
 from strataframe.llm.packing import best_fit_pack, pack_documents, plan_slots, token_pieces
@@ -19,7 +19,7 @@ from strataframe.llm.quality import LineField, base_counts, quality_rules, repea
 from strataframe.llm.substring_dedup import chunk_ends, cut_spans, repeated_spans
 from strataframe.llm.surrogates import pseudonymise, surrogate_units
 from strataframe.llm.token_counts import SegmentTree, apply_edits, edited_counts, standard_edits
-from strataframe.llm.toxicity import score_toxicity, train_toxicity
+from strataframe.llm.toxicity import ConvNet, score_toxicity, train_toxicity, word_parts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(5)
@@ -215,6 +215,13 @@ def test_toxicity(spark, odd):
     assert net is None and {r["score"] for r in score_toxicity(odd, net, limits).collect()} == {0.0}
 
 
+def test_toxicity_trains_on_words_whose_parts_share_a_bucket():
+    word = "agbjgxyz"
+    assert len(set(word_parts(word))) < len(word_parts(word))
+    net = ConvNet.fit([prose(30, i) + (f" {word}" if i % 2 else "") for i in range(60)], [i % 2 for i in range(60)])
+    assert np.isfinite(net.table).all()
+
+
 def test_chunks_resist_shifts():
     text = prose(400, 1).encode()
     a, b = chunk_ends(text), chunk_ends(b"something new here " + text) - 19
@@ -281,6 +288,18 @@ def test_pruning_table():
     assert all(0 <= m < 0.8 * n for n, m in steps) and [m for _, m in steps] == sorted(m for _, m in steps)
 
 
+def test_bands_are_the_signature(spark):
+    """Two texts share a band where, and only where, the parts of their signatures are equal: the first band in common
+    is told from the signatures, so a band that seemed equal and had another key would lose the pair."""
+    rows = [(i, prose(60, i // 2) + (" " + prose(4, 900 + i) if i % 2 else "")) for i in range(40)]
+    got = {r["doc_id"]: r for r in _sketches(docs(spark, rows)).collect()}
+    parts = {i: np.frombuffer(r["sig"], "<u2").reshape(BANDS, ROWS) for i, r in got.items()}
+    for i in range(0, 40, 2):
+        assert ((parts[i] == parts[i + 1]).all(1) == (np.array(got[i]["bands"]) == np.array(got[i + 1]["bands"]))).all()
+    shingles = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert signature(shingles).dtype == np.dtype("<u2") and len(got[0]["bands"]) == BANDS
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
