@@ -20,10 +20,18 @@ def latest_per_key(log: DataFrame, key: str) -> DataFrame:
 
 
 def earliest_duplicate(cache: DataFrame, probe: DataFrame) -> DataFrame:
-    """The first cached trial with the same hash and another commit, for each probe (J10); a null hash has none."""
-    c = cache.select(F.col("ast_sha256"), F.col("commit").alias("seen_commit"), F.col("branch_tag").alias("seen_branch"), "row_no")
-    hits = probe.join(c, "ast_sha256").where(F.col("commit") != F.col("seen_commit"))
-    return hits.groupBy("commit", "ast_sha256").agg(F.min_by(F.struct("seen_branch", "seen_commit"), "row_no").alias("f")).select("commit", "ast_sha256", "f.*")
+    """The first cached trial with the same hash and another commit, for each probe (J10); a null hash has none.
+
+    That is the first trial of the hash, or, for probes of its own commit, the first one of another commit: two rows a hash,
+    so the join is linear in the log however many trials share a hash.
+    """
+    trial = F.struct(F.col("branch_tag").alias("seen_branch"), F.col("commit").alias("seen_commit"))
+    c = cache.where("ast_sha256 is not null and commit is not null")
+    first = c.groupBy("ast_sha256").agg(F.min_by(trial, "row_no").alias("first"))
+    other = c.join(first, "ast_sha256").where(F.col("commit") != F.col("first.seen_commit")).groupBy("ast_sha256").agg(F.min_by(trial, "row_no").alias("other"))
+    found = F.when(F.col("commit") != F.col("first.seen_commit"), F.col("first")).otherwise(F.col("other"))
+    hits = probe.select("commit", "ast_sha256").where("commit is not null").distinct().join(first, "ast_sha256").join(other, "ast_sha256", "left")
+    return hits.select("commit", "ast_sha256", found.alias("f")).where("f is not null").select("commit", "ast_sha256", "f.*")
 
 
 def seeds(log: DataFrame, by: tuple[str, ...] = ("branch_tag",)) -> DataFrame:
@@ -44,9 +52,10 @@ def repaired(results: DataFrame, oos_log: DataFrame) -> DataFrame:
     return results.join(true, "commit", "left").withColumn("oos_sharpe", F.when(good, F.col("true_sharpe")).otherwise(F.col("oos_sharpe"))).drop("true_sharpe")
 
 
-def running_best(log: DataFrame) -> DataFrame:
-    """Kept trials in order with the best so far and the change against the kept one before."""
-    w = Window.orderBy("row_no")
+def running_best(log: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Kept trials in order with the best so far and the change against the kept one before (W11, W12), each group of `by`
+    on its own. Without `by` the whole log is one sequence, and one task orders it: for the log of one universe."""
+    w = Window.partitionBy(*by).orderBy("row_no")
     kept = log.where((F.col("status") == "keep") & F.col("oos_sharpe").isNotNull())
     return kept.withColumn("best", F.max("oos_sharpe").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("delta", F.col("oos_sharpe") - F.lag("oos_sharpe").over(w))
 

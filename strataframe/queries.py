@@ -125,6 +125,11 @@ def ffill_close(s, d):
     return pn.with_returns(_flat(s, d).select("date", "ticker", "close")).select("date", "ticker", "c")
 
 
+@query("SELECT ticker, min(date) AS first_valid FROM flat WHERE close IS NOT NULL GROUP BY 1")
+def first_valid(s, d):
+    return _flat(s, d).where("close is not null").groupBy("ticker").agg(F.min("date").alias("first_valid"))
+
+
 @query("SELECT ticker, min(date) AS first_valid FROM flat GROUP BY 1 HAVING min(date) <= DATE '1995-01-03'")
 def universe_asof(s, d):
     return pn.universe_asof(_flat(s, d), "1995-01-03")
@@ -315,6 +320,26 @@ def annual_stats(s, d):
     return h.select(*[F.round(c, 6).alias(c) for c in ("annual_return", "annual_vol", "max_drawdown")], F.round("calmar", 4).alias("calmar"), F.round("turnover_annual", 6).alias("turnover_annual"), "num_trades")
 
 
+@query(f"SELECT round(max_drawdown, 6) AS max_drawdown FROM ({_HEAD})")
+def max_drawdown(s, d):
+    return bt.headline(_daily(s, d), CFG).select(F.round("max_drawdown", 6).alias("max_drawdown"))
+
+
+@query(f"SELECT round(annual_return / max_drawdown, 4) AS calmar FROM ({_HEAD})")
+def calmar(s, d):
+    return bt.headline(_daily(s, d), CFG).select(F.round("calmar", 4).alias("calmar"))
+
+
+@query(f"SELECT num_trades FROM ({_HEAD})")
+def trade_count(s, d):
+    return bt.headline(_daily(s, d), CFG).select("num_trades")
+
+
+@query("SELECT CAST(least(floor((turnover - lo) * 40 / (hi - lo)), 39) AS INTEGER) AS bin, count(*) AS n FROM (SELECT round(turnover, 8) AS turnover FROM daily), (SELECT min(round(turnover, 8)) AS lo, max(round(turnover, 8)) AS hi FROM daily) GROUP BY 1")
+def hist_turnover(s, d):
+    return tl.histogram(_daily(s, d).select(F.round("turnover", 8).alias("turnover")), "turnover")
+
+
 @query(f"SELECT CAST(year(date) AS INTEGER) AS year, round({_SHARPE.format(x='ex')}, 6) AS sharpe FROM oos GROUP BY 1")
 def yearly_sharpe(s, d):
     return bt.yearly_sharpes(_daily(s, d), CFG).withColumns(r8("sharpe", digits=6))
@@ -442,10 +467,33 @@ def repair_sharpe(s, d):
     return tl.repaired(log, other).select("row_no", F.round("oos_sharpe", 8).alias("oos_sharpe"))
 
 
-@query("SELECT p.commit, p.ast_sha256, arg_min(c.branch_tag, c.row_no) AS seen_branch, arg_min(c.commit, c.row_no) AS seen_commit FROM log p JOIN log c ON p.ast_sha256 = c.ast_sha256 AND p.commit <> c.commit WHERE p.row_no % 10 = 0 GROUP BY 1, 2", base=_LOG)
+@query(""", firsts AS (SELECT ast_sha256, arg_min(branch_tag, row_no) AS b1, arg_min(commit, row_no) AS c1 FROM log GROUP BY 1),
+others AS (SELECT l.ast_sha256, arg_min(l.branch_tag, l.row_no) AS b2, arg_min(l.commit, l.row_no) AS c2 FROM log l JOIN firsts f ON l.ast_sha256 = f.ast_sha256 AND l.commit <> f.c1 GROUP BY 1)
+SELECT p.commit, p.ast_sha256, CASE WHEN p.commit <> c1 THEN b1 ELSE b2 END AS seen_branch, CASE WHEN p.commit <> c1 THEN c1 ELSE c2 END AS seen_commit
+FROM (SELECT DISTINCT commit, ast_sha256 FROM log) p JOIN firsts USING (ast_sha256) LEFT JOIN others USING (ast_sha256) WHERE p.commit <> c1 OR c2 IS NOT NULL""", base=_LOG)
 def duplicate_ast(s, d):
     log = fx.trial_log(s, d)
-    return tl.earliest_duplicate(log, log.where("row_no % 10 = 0").select("commit", "ast_sha256")).select("commit", "ast_sha256", "seen_branch", "seen_commit")
+    return tl.earliest_duplicate(log, log.select("commit", "ast_sha256")).select("commit", "ast_sha256", "seen_branch", "seen_commit")
+
+
+@query("SELECT round(count(*) FILTER (status = 'keep') / CAST(count(*) FILTER (status <> 'crash') AS DOUBLE), 8) AS keep_rate FROM log", base=_LOG)
+def keep_rate(s, d):
+    return tl.status_counts(fx.trial_log(s, d)).select(F.round("keep_rate", 8).alias("keep_rate")).distinct()
+
+
+@query("SELECT universe_tag, round(coalesce(stddev_samp(oos_sharpe) FILTER (status <> 'crash'), 0), 8) AS sigma, greatest(count(oos_sharpe) FILTER (status <> 'crash'), 2) AS n FROM log GROUP BY 1", base=_LOG)
+def pool_sigma(s, d):
+    return tl.pool(fx.trial_log(s, d), None).select("universe_tag", F.round("sigma", 8).alias("sigma"), "n")
+
+
+@query("SELECT row_no, universe_tag, round(max(oos_sharpe) OVER w, 8) AS best FROM log WHERE status = 'keep' AND oos_sharpe IS NOT NULL WINDOW w AS (PARTITION BY universe_tag ORDER BY row_no)", base=_LOG)
+def frontier(s, d):
+    return tl.running_best(fx.trial_log(s, d), ("universe_tag",)).select("row_no", "universe_tag", F.round("best", 8).alias("best"))
+
+
+@query("SELECT row_no, universe_tag, round(oos_sharpe - lag(oos_sharpe) OVER (PARTITION BY universe_tag ORDER BY row_no), 8) AS delta FROM log WHERE status = 'keep' AND oos_sharpe IS NOT NULL", base=_LOG)
+def delta_vs_prev_kept(s, d):
+    return tl.running_best(fx.trial_log(s, d), ("universe_tag",)).select("row_no", "universe_tag", F.round("delta", 8).alias("delta"))
 
 
 _AUDIT = f""", seeds AS (SELECT universe_tag, branch_tag, arg_min(commit, (written_at, row_no)) AS seed_commit, arg_min(oos_sharpe, (written_at, row_no)) FILTER (oos_sharpe IS NOT NULL) AS seed_sharpe FROM log GROUP BY 1, 2),
@@ -460,6 +508,12 @@ def expanding_pool(s, d):
     return a.select("row_no", "n", F.round("sigma", 7).alias("sigma"), F.round("sr0", 6).alias("sr0"), F.round("margin", 7).alias("margin"))
 
 
+@query(_AUDIT + "SELECT row_no, universe_tag, margin > 0 AS pass_plain, margin - sr0 > 0 AS pass_deflated FROM audit", base=_LOG)
+def gate_audit(s, d):
+    a = tl.gate_audit(fx.trial_log(s, d))
+    return a.select("row_no", "universe_tag", (F.col("margin") > 0).alias("pass_plain"), (F.col("margin_deflated") > 0).alias("pass_deflated"))
+
+
 @query(_AUDIT + "SELECT universe_tag, count(*) AS trials, count(*) FILTER (margin > 0) AS pass_plain, count(*) FILTER (margin - sr0 > 0) AS pass_deflated, round(avg(sr0), 6) AS sr0_mean, round(median(sr0), 6) AS sr0_median, round(quantile_cont(sr0, 0.9), 6) AS sr0_p90, round(median(margin - sr0), 6) AS margin_median FROM audit GROUP BY 1", base=_LOG)
 def gate_audit_totals(s, d):
     t = tl.gate_totals(tl.gate_audit(fx.trial_log(s, d)))

@@ -37,7 +37,7 @@ def same(a, b):
     return str(a).removesuffix(" 00:00:00") == str(b).removesuffix(" 00:00:00")
 
 
-@pytest.mark.parametrize("name", [n for n in ORACLES if n in ("quad_composite_weights", "bottom_k_weights", "strat_returns", "annual_stats", "fold_medians", "bootstrap_ci", "gate_audit_totals", "universe_report", "effective_n", "sweep_shapes", "membership_mask", "duplicate_ast", "status_counts")])
+@pytest.mark.parametrize("name", [n for n in ORACLES if n in ("quad_composite_weights", "bottom_k_weights", "strat_returns", "annual_stats", "fold_medians", "bootstrap_ci", "gate_audit_totals", "universe_report", "effective_n", "sweep_shapes", "membership_mask", "duplicate_ast", "status_counts", "frontier", "pool_sigma", "gate_audit")])
 def test_query_matches_sql(spark, sf_dir, db, name):
     rel = db.sql(ORACLES[name])
     key = lambda r: [f"{x:.4f}" if isinstance(x, float) else str(x).removesuffix(" 00:00:00") for x in r]
@@ -152,6 +152,19 @@ def test_seed_columns_come_from_different_rows(spark):
     assert (r["seed_commit"], r["seed_sharpe"]) == ("c1", 2.0)
 
 
+def test_earliest_duplicate_against_all_pairs(spark):
+    """Own commits, repeated rows, null hashes and null commits."""
+    rows = [("h", "b1", "c1", 1), ("h", "b2", "c2", 2), ("h", "b3", "c1", 3), ("g", "b1", "c5", 4), ("g", "b2", "c5", 5), (None, "b1", "c6", 6), ("h", "b4", None, 0), ("h", "b2", "c2", 7)]
+    log = spark.createDataFrame(rows, "ast_sha256 string, branch_tag string, commit string, row_no long")
+    got = {(r["commit"], r["ast_sha256"], r["seen_branch"], r["seen_commit"]) for r in tl.earliest_duplicate(log, log).collect()}
+    want = set()
+    for h, _, c, _ in rows:
+        if h and c and (hits := [x for x in rows if x[0] == h and x[2] and x[2] != c]):
+            x = min(hits, key=lambda x: x[3])
+            want.add((c, h, x[1], x[2]))
+    assert got == want and len(want) == 2
+
+
 def test_bootstrap_and_sweep(spark, sf_dir):
     p = fx.panel_compound(spark, sf_dir).where("date < DATE'1996-01-01'")
     cfg = replace(CFG, oos_start="1995-06-01", oos_end="1995-12-31", bootstrap_draws=30)
