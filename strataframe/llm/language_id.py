@@ -110,7 +110,8 @@ def train_language_tree(docs: DataFrame, sample: int = SAMPLE, families: dict[st
     if not keys:
         return LanguageTree({}, [], [])
     chosen = F.broadcast(reduce(DataFrame.unionByName, keys).distinct())  # at most `sample` rows a language
-    got = rows.join(chosen.withColumnRenamed("doc_id", "__id"), ["lang", "__t"]).where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "lang").collect()
+    found = rows.join(chosen.withColumnRenamed("doc_id", "__id"), ["lang", "__t"]).where(F.col("doc_id").eqNullSafe(F.col("__id")))
+    got = found.groupBy("lang", "doc_id", "__t").agg(F.min("text").alias("text")).select("text", "lang").collect()  # repeated rows count once
     got = sorted(got, key=lambda r: (r["lang"], r["text"]))
     return LanguageTree.fit([r["text"] for r in got], [r["lang"] for r in got], families)
 

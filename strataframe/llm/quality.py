@@ -153,12 +153,13 @@ def train_line_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     def features(batches):
         for pdf in batches:
             rows = [line_features(t.split("\n"))[0] for t in pdf["text"]]
-            yield pd.DataFrame({"quality": pdf["quality"], "f": [r.astype("<f4").tobytes() for r in rows]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "f": [r.astype("<f4").tobytes() for r in rows]})
 
     small_batches(docs.sparkSession)
     rows = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-        .select("text", "quality").mapInPandas(features, "quality int, f binary").collect()
+        .select("doc_id", "text", "quality").mapInPandas(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, f binary")
+        .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("f").alias("f")).collect()  # one row for each chosen doc_id
     )
     rows = sorted((int(r["quality"]), bytes(r["f"])) for r in rows)
     data = [(q, np.frombuffer(f, "<f4").reshape(-1, N_FEATURES)) for q, f in rows]
