@@ -182,6 +182,13 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def forget_words() -> None:
+    """Drop the encoder of this Python worker. Workers are used again by later stages; those that keep words of their own
+    call this first, so that a worker holds the words of one operator at a time."""
+    encoder.cache_clear()
+    _tokenizer.cache_clear()
+
+
 def word_tokenizer_path() -> str:
     import public_tokenizers
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILARITY, small_batches, table, written
+from .common import SHINGLE, SIMILARITY, forget_words, small_batches, table, written
 from .components import components
 
 #: Bands of rows: a pair at 0.8 shares none of 28 bands of 4 with probability (1 - 0.8^4)^28 < 4e-7.
@@ -37,7 +37,8 @@ _A, _B = _multipliers()
 class Shingler:
     """Sets of hashed word shingles. A text of fewer words than a shingle is one shingle; without words, none."""
 
-    def __init__(self, size: int = SHINGLE, remember: int = 500_000):
+    def __init__(self, size: int = SHINGLE, remember: int = 100_000):
+        forget_words()
         self.size, self.remember, self.known = size, remember, {}
 
     def __call__(self, text: str | None) -> np.ndarray:

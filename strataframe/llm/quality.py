@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, small_batches, table
+from .common import ascii_words, forget_words, small_batches, table
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 _NOTICE = re.compile(r"licen[sc]e|copyright|rights reserved|cookie|privacy|terms of", re.I)
@@ -187,6 +187,7 @@ def quality_rules(docs: DataFrame, field: LineField | None, keep_share: float =
     """
 
     def judge(batches):
+        forget_words()
         for pdf in batches:
             rows = []
             for text in pdf["__text"]:
