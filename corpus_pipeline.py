@@ -53,7 +53,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: The line labels, the language of the tokenizer and the components are not SQL; tests hold run() against plain Python.
+#: The line labels and the tokenizer are not SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 

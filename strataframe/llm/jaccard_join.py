@@ -262,3 +262,33 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, counted exactly; classes by reachability.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL
+), tokens AS (
+  SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words
+), grams AS (
+  SELECT doc_id, n, i, concat_ws(' ', x, lead(x, 1) OVER d, lead(x, 2) OVER d, lead(x, 3) OVER d, lead(x, 4) OVER d) AS g
+  FROM tokens WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), sets AS (
+  SELECT DISTINCT doc_id, g FROM grams WHERE i <= greatest(1, n - 4)
+), sizes AS (
+  SELECT doc_id, count(*) AS size FROM sets GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b, shared = sa.size AND shared = sb.size AS copies
+  FROM common JOIN sizes sa ON a = sa.doc_id JOIN sizes sb ON b = sb.doc_id WHERE 5 * shared >= 4 * (sa.size + sb.size - shared)
+), reached AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT b, root FROM reached JOIN links ON a = node
+), classes AS (
+  SELECT node, min(root) AS class_id FROM reached GROUP BY 1
+), counts AS (
+  SELECT a, count(*) AS n_links, count(*) FILTER (copies) AS n_copies FROM links GROUP BY 1
+)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 0) AS n_copies
+FROM documents JOIN classes ON node = doc_id LEFT JOIN counts ON a = doc_id
+"""
