@@ -432,7 +432,7 @@ def bootstrap_ci(s, d):
 
 @query()
 def null_shuffle_p(s, d):
-    return sim.null_test(fx.panel_compound(s, d), lambda p, by=(): sg.residual_reversal(p, by=by), CFG, 20)
+    return sim.null_test(fx.panel_compound(s, d), sg.quad_reversal, CFG)
 
 
 @query()

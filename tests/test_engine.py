@@ -185,6 +185,16 @@ def test_shuffle_keeps_each_names_returns(spark):
     assert all(math.isclose(r["e"], 120, rel_tol=1e-9) and r["s"] == 100 for r in ends)
 
 
+def test_null_query_is_the_whole_test(spark, sf_dir):
+    """200 draws of the reference's strategy, as null_test.py runs it; p is a share of the draws."""
+    p = fx.panel_compound(spark, sf_dir)
+    daily = bt.with_excess(bt.strat_returns(sg.quad_reversal(p), p, CFG), CFG).where(bt.out_of_sample(CFG))
+    real = daily.agg(bt.sharpe(F.col("ex"), CFG.days_per_year).alias("s")).first()["s"]
+    r = QUERIES["null_shuffle_p"](spark, sf_dir).first()
+    assert r["draws"] == 200 and math.isclose(r["real"], real, rel_tol=1e-9)
+    assert math.isclose(r["p"] * 200, round(r["p"] * 200), abs_tol=1e-9) and r["p05"] < r["mean"] < r["p95"] and r["sd"] > 0
+
+
 GOOD = {"oos_sharpe": 2.0, "oos_sharpe_lo": 1.5, "is_fold_median_sharpe": 1.0, "oos_fold_median_sharpe": 0.5, "min_fold_sharpe": 0.1, "max_drawdown": 0.2, "turnover_annual": 10.0, "num_trades": 100}
 BASE = {"oos_sharpe": 1.0, "is_fold_median_sharpe": 0.5}
 
