@@ -81,20 +81,25 @@ def _blocks(df: DataFrame) -> DataFrame:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """Item id, number of shingles, and its distinct shingles with weights: ln(1 + items / items with the shingle)."""
-    items = _shingled(benchmark.select("item_id", "text"), "text").where("size(__s) > 0").select("item_id", "__s")
+    """Item id, shingles, and its distinct shingles with weights: ln(1 + items / items with the shingle).
+
+    An item is a row's content, named by `__i`: ids may be null, repeated or shared by different texts.
+    """
+    rows = benchmark.select("item_id", "text").withColumn("__i", F.struct(*row_key(F.col("item_id"), F.col("text")))).dropDuplicates(["__i"])
+    items = _shingled(rows, "text").where("size(__s) > 0").select("__i", "item_id", "__s")
     total = items.agg(F.count("*").alias("__items"))
-    each = items.select("item_id", F.explode(F.array_distinct("__s")).alias("h"))
+    each = items.select("__i", F.explode(F.array_distinct("__s")).alias("h"))
     weight = each.groupBy("h").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("h", F.log(1 + F.col("__items") / F.col("df")).alias("w"), F.log(F.lit(1.0) + F.col("__items")).alias("w0"))
-    weights = each.join(weight, "h").groupBy("item_id").agg(F.collect_list(F.struct("h", "w")).alias("weights"), F.max("w0").alias("w0"))
-    return items.join(weights, "item_id")
+    weights = each.join(weight, "h").groupBy("__i").agg(F.collect_list(F.struct("h", "w")).alias("weights"), F.max("w0").alias("w0"))
+    return items.join(weights, "__i")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Documents that hold a stretch, as long as an item, with a weighted Jaccard similarity to it of at least `similarity`.
 
     Returns doc_id, item_id, the best similarity and the word at which the first such stretch starts. Null and empty texts,
-    and items of fewer than five words, have no shingles and match nothing. Repeated rows count once; a null doc_id is kept.
+    and items of fewer than five words, have no shingles and match nothing. Repeated rows count once; a null doc_id is kept,
+    and so is a null item_id. Different texts under one item_id are items of their own, and the best of them is returned.
     """
     items = written(_items(benchmark), "items")
     per_class = [(m, w, s, (m, above)) for (m, w, s), above in zip(CLASSES, [1 << 30, *(c[0] for c in CLASSES)])]
@@ -107,11 +112,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     for m, w, s, (low, above) in per_class:
         own = F.when((sized >= low) & (sized < above), F.sequence(F.lit(w), 16 * (sized - w) + w, F.lit(16))).otherwise(own)
     index = _fingerprints(items.withColumn("code", F.explode(own)))
-    index = _blocks(index).select("key", F.col("fp").alias("__fp"), F.col("__n").alias("__m"), F.col("__p").alias("__off"), "item_id", F.size("__s").alias("__len"))
+    index = _blocks(index).select("key", F.col("fp").alias("__fp"), F.col("__n").alias("__m"), F.col("__p").alias("__off"), "__i", F.size("__s").alias("__len"))
     index = written(index, "item-windows")
     n_index = index.count()
     # The index grows with the benchmark only; it is sent to all executors only below a checked number of rows.
-    weighted = items.select("item_id", "weights", "w0")
+    weighted = items.select("__i", "item_id", "weights", "w0")
     if n_index <= BROADCAST_ROWS:
         index, weighted = F.broadcast(index), F.broadcast(weighted)
     windows = _shingled(docs.select("doc_id", "text").where("text is not null"), "text").select("doc_id", "__s")
@@ -119,7 +124,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     found = windows.join(index, "key").where((F.col("__n") == F.col("__m")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("__fp"))) <= RADIUS))
     start = F.greatest(F.lit(0), F.col("__p") - F.col("__off"))
     stretch = F.array_distinct(F.slice("__s", start + 1, F.col("__len")))
-    found = found.select("doc_id", "item_id", start.alias("word"), stretch.alias("__d")).join(weighted, "item_id")
+    found = found.select("doc_id", "__i", start.alias("word"), stretch.alias("__d")).join(weighted, "__i")
     mine = F.filter("weights", lambda x: F.array_contains("__d", x["h"]))
     found = found.select("doc_id", "item_id", "word", mine.alias("__both"), F.size("__d").alias("__size"), "weights", "w0")
     add = lambda a, x: a + x["w"]

@@ -353,6 +353,16 @@ def test_decontamination_brute_force(spark):
     assert {(x["doc_id"], x["item_id"]) for x in contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()} == want
 
 
+def test_decontamination_of_null_repeated_and_clashing_items(spark):
+    a, b, c, d = prose(40, 801), prose(30, 802), prose(30, 803), prose(60, 804)
+    bench = spark.createDataFrame([(None, a), (1, b), (1, c), (2, d), (2, d), (2, d)], "item_id long, text string")
+    part = " ".join(d.split()[:45])
+    rows = [(1, prose(20, 811) + " " + a), (2, prose(20, 812) + " " + b), (3, c), (4, part + " " + prose(40, 813)), (5, prose(7, 814) + " " + d + " " + prose(9, 815))]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(1, None): 1.0, (2, 1): 1.0, (3, 1): 1.0, (5, 2): 1.0}
+    assert {r["doc_id"] for r in decontaminate(docs(spark, rows), bench).collect()} == {4}
+
+
 def test_surrogates(spark, odd):
     a = "Mr. John Smith wrote to ann.b@site.org and 4111 1111 1111 1111. Later Mr. Smith called +1 (974) 555-3436 from 10.0.0.7; 123-45-6789."
     b = "Frau Anna Meier, ann.b@site.org, bob@site.org, господин Иванов, " + "0123456789abcdef" * 2
