@@ -17,8 +17,9 @@ from .common import SHINGLE, SIMILARITY, row_key, table, written
 #: Bits in which fingerprints may differ; 4 blocks of 16 bits always leave one block equal.
 RADIUS, BLOCKS = 3, 4
 #: Shingles of an item at least, shingles of a window, places between windows of documents. A similarity of 0.8 leaves a whole
-#: stretch of at least 18 of 21 and more shingles, 8 of 9 and more, and all of fewer: W + s - 1 of each class.
-CLASSES = ((21, 15, 4), (9, 7, 2), (3, 3, 1), (1, 1, 1))
+#: stretch of at least 18 of 22 and more shingles, 8 of 9 and more, and all of fewer: W + s - 1 of each class. (Of 21 it may
+#: leave 17, where the end of a document cuts the item off.)
+CLASSES = ((22, 15, 4), (9, 7, 2), (3, 3, 1), (1, 1, 1))
 #: Index rows at most that are sent to all executors; a larger index is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 _WORD = r"[\p{L}\p{N}]+"

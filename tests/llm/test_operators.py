@@ -363,6 +363,14 @@ def test_decontamination_of_null_repeated_and_clashing_items(spark):
     assert {r["doc_id"] for r in decontaminate(docs(spark, rows), bench).collect()} == {4}
 
 
+def test_decontamination_of_items_cut_off_at_the_end(spark):
+    """The first words that leave 0.8 of an item's shingles, as the end of documents, at every place modulo 4."""
+    items = {k: prose(k + 4, 820 + k) for k in (9, 10, 20, 21, 22, 23, 26)}
+    rows = [(100 * k + p, prose(12 + p, 850 + p) + " " + " ".join(t.split()[: -(-8 * k // 10) + 4])) for k, t in items.items() for p in range(4)]
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs(spark, rows), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == {(i, i // 100) for i, _ in rows}
+
+
 def test_surrogates(spark, odd):
     a = "Mr. John Smith wrote to ann.b@site.org and 4111 1111 1111 1111. Later Mr. Smith called +1 (974) 555-3436 from 10.0.0.7; 123-45-6789."
     b = "Frau Anna Meier, ann.b@site.org, bob@site.org, господин Иванов, " + "0123456789abcdef" * 2
