@@ -12,6 +12,8 @@ from .common import small_batches, table, written
 
 #: Bytes between raw cuts on average, bytes since the cut before at least, and characters of a repeated run at least.
 RAW_MEAN, MIN_GAP, MIN_RUN = 20, 8, 100
+#: Bytes of a chunk at most, and bytes from a cut to the next one inside a longer stretch, at least and at most.
+LONGEST, NEAR, FAR = 96, 16, 64
 _CHUNKS = "doc_id long, r1 long, r2 long, start int, length int, d1 long, d2 long"
 
 
@@ -28,19 +30,32 @@ GEAR = _gear()
 
 def chunk_ends(data: bytes, raw_mean: int = RAW_MEAN, min_gap: int = MIN_GAP) -> np.ndarray:
     """Ends of the chunks of UTF-8 text. The hash is of the last 16 bytes, and every rule looks at the bytes nearby only,
-    so an insertion moves the cuts around it and no others. A text that never cuts is one chunk."""
+    so an insertion moves the cuts around it and no others.
+
+    Repetitive bytes have no such cuts, or only cuts too close to each other. Stretches of more than `LONGEST` bytes are
+    cut again, each time where the hash is least (the first such place) `NEAR` to `FAR` bytes on. Where bytes repeat with
+    a period, that is the same place of the period in every text, whatever stands before, and the chunks are alike."""
     b = np.frombuffer(data, np.uint8)
     if not len(b):
         return np.zeros(0, np.int64)
     h = GEAR[b]
     for k in (1, 2, 4, 8):  # sums over the last 2, 4, 8, 16 bytes, each byte shifted once for every later one
         h = np.concatenate([h[:k], h[k:] + (h[:-k] << np.uint16(k))])
-    cut = h < 65536 // raw_mean
-    cut[:-1] &= (b[1:] & 0xC0) != 0x80  # not inside a character
-    at = np.flatnonzero(cut) + 1
+    inside = np.append((b[1:] & 0xC0) == 0x80, False)  # a cut here would be inside a character
+    at = np.flatnonzero((h < 65536 // raw_mean) & ~inside) + 1
     if len(at):
         at = at[np.diff(at, prepend=-min_gap) >= min_gap]
-    return at if len(at) and at[-1] == len(b) else np.append(at, len(b))
+    at = at if len(at) and at[-1] == len(b) else np.append(at, len(b))
+    long = np.flatnonzero(np.diff(at, prepend=0) > LONGEST)
+    if not len(long):
+        return at
+    h, more = np.where(inside, 65536, h.astype(np.int32)), []
+    for k in long.tolist():
+        lo, hi = int(at[k - 1]) if k else 0, int(at[k])
+        while hi - lo > LONGEST:
+            lo += NEAR + int(h[lo + NEAR - 1 : lo + FAR].argmin())
+            more.append(lo)
+    return np.sort(np.concatenate([at, np.array(more, at.dtype)]))
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:

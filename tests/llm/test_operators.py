@@ -245,6 +245,28 @@ def test_substring_dedup(spark, odd):
     assert repeated_spans(odd).count() == 0 and repeated_spans(empty(spark)).count() == 0
 
 
+def test_substring_dedup_of_repetitive_passages(spark):
+    """One byte, words, rules of tables and long periods, shared at other phases and in other surroundings."""
+    units = ["x", "word ", "-=", "|---", "ab cd ", "é ", "no data | n/a | ", "漢字 ", "a rather long unit of text, ", "=" * 30 + "\n"]
+    rows = []
+    for k, unit in enumerate(units):
+        for i in range(4):
+            passage = (unit * 700)[3 * i :][:600]
+            rows.append((4 * k + i, prose(20 + i, 60_000 + 4 * k + i) + " " + passage + " " + prose(15, 61_000 + 4 * k + i)))
+    spans = {}
+    for r in repeated_spans(docs(spark, rows)).collect():
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["first_doc_id"]))
+    text = dict(rows)
+    assert set(spans) == {i for i, _ in rows if i % 4}
+    for i, found in spans.items():
+        assert sum(n for _, n, _ in found) >= 400 and all(first == i - i % 4 for *_, first in found)
+        assert all(text[i][a : a + n] in units[i // 4] * 900 for a, n, _ in found)
+    for unit in units:
+        data = ("begin " + unit * 3000 + "end").encode()
+        ends = chunk_ends(data)
+        assert np.diff(ends, prepend=0).max() <= 96 and ends[-1] == len(data) and all(data[:e].decode() for e in ends.tolist())
+
+
 def brute_sets(rows):
     out = {}
     for i, t in rows:
