@@ -14,15 +14,18 @@ TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"], "
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
-    "card": r"(?<![\d+])(?:\d{4}[ -]?){3}\d{4}(?!\d)",
+    "card": r"(?<![\d+])(?:(?:\d{4}[ -]?){3}\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    # Beyond 64 places hexadecimal text without any digit is a run of letters, not a secret.
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,64}|(?=[a-fA-F]*[0-9])[0-9a-fA-F]{65,})(?![0-9A-Za-z])",
     "name": r"(?<!\p{L})(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}\p{L}{1,30}(?: \p{Lu}\p{L}{1,30})?",
 }
 _ALL = "|".join(PATTERNS.values())
 #: What any entity holds: a digit, an at sign or a title; texts without are not searched further.
-_HINT = r"[0-9@]|(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}|[a-f]{32}"
+_HINT = r"[0-9@]|(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}|[a-fA-F]{32}"
+#: Numbers that are cards only if their check digit is right.
+_CARD_IF_LUHN = r"^(?:\d{13,15}|\d{17,19}|\d{4}[ -]\d{6}[ -]\d{5})$"
 ROUNDS = 64
 
 
@@ -67,12 +70,15 @@ def _surrogate(key: str) -> Column:
     ip = F.concat_ws(".", (byte(F.lit(0), 223) + 1).cast("string"), byte(F.lit(1), 256).cast("string"), byte(F.lit(2), 256).cast("string"), (byte(F.lit(3), 254) + 1).cast("string"))
     plain = F.regexp_replace(unit, "[^0-9]", "")
     free = like(unit)
-    body = F.regexp_replace(free, "[^0-9]", "").substr(1, 15)
+    digits = F.regexp_replace(free, "[^0-9]", "")
+    body = digits.substr(F.lit(1), F.length(digits) - 1)
     check = ((10 - _luhn(body, 0) % 10) % 10).cast("string")
     card = F.when(_luhn(plain, 1) % 10 == 0, F.concat(free.substr(F.lit(1), F.length(free) - 1), check)).otherwise(free)
     prefix = F.regexp_extract(unit, r"^\+\d{1,3}", 0)
     phone = F.concat(prefix, F.substr(free, F.length(prefix) + 1))
-    secret = stream.substr(F.lit(1), F.length(unit))
+    low = F.repeat(stream, F.ceil(F.length(unit) / 128).cast("int")).substr(F.lit(1), F.length(unit))
+    by_place = F.array_join(F.transform(F.split(unit, ""), lambda c, i: F.when(c.rlike("[A-F]"), F.upper(low.substr((i + 1).cast("int"), F.lit(1)))).otherwise(low.substr((i + 1).cast("int"), F.lit(1)))), "")
+    secret = F.when(unit == F.lower(unit), low).when(unit == F.upper(unit), F.upper(low)).otherwise(by_place)
     # Names: syllables of the word's script, with an ending by gender for given names.
     cyrillic = unit.rlike(r"\p{IsCyrillic}")
     pick = lambda letters, i: F.lit(letters).substr(byte(F.lit(i), len(letters)) + 1, F.lit(1))
@@ -119,7 +125,9 @@ def pseudonymise(docs: DataFrame, key: str = "strataframe") -> DataFrame:
     r1, r2 = row_key(F.lit(0), F.col("text"))
     searched = F.when(F.col("text").rlike(_HINT), F.regexp_extract_all("text", F.lit(_ALL), 0)).otherwise(F.array().cast("array<string>"))
     base = docs.drop("n_entities", "entity_kinds").withColumns({"__e": F.coalesce(searched, F.array().cast("array<string>")), "__r1": r1, "__r2": r2})
-    mentions = base.where("size(__e) > 0").select("__r1", "__r2", F.explode(F.array_distinct("__e")).alias("entity"))
+    # What is found and no entity stays in __e, which lies between the pieces of the text, and is put back as it is.
+    base = base.withColumn("__f", F.filter("__e", lambda e: ~e.rlike(_CARD_IF_LUHN) | (_luhn(F.regexp_replace(e, "[^0-9]", ""), 1) % 10 == 0)))
+    mentions = base.where("size(__f) > 0").select("__r1", "__r2", F.explode(F.array_distinct("__f")).alias("entity"))
     mentions = written(mentions.distinct(), "mentions")
     entities = mentions.groupBy("entity").agg(F.count("*").alias("texts")).select("entity").withColumn("kind", _kind(F.col("entity")))
     title = F.regexp_extract("entity", r"^\S+", 0)
@@ -138,11 +146,11 @@ def pseudonymise(docs: DataFrame, key: str = "strataframe") -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("__new"), F.sort_array(F.collect_set("whole")).alias("__kinds")
     )
     between = F.split("text", _ALL, -1)
-    pieces = F.zip_with(F.concat(F.array(F.lit("")), F.transform("__e", lambda e: F.col("__new")[e])), between, lambda a, b: F.concat(a, b))
-    rewritten = base.where("size(__e) > 0").join(by_text, ["__r1", "__r2"])
+    pieces = F.zip_with(F.concat(F.array(F.lit("")), F.transform("__e", lambda e: F.coalesce(F.col("__new")[e], e))), between, lambda a, b: F.concat(a, b))
+    rewritten = base.where("size(__f) > 0").join(by_text, ["__r1", "__r2"])
     empty = F.array().cast("array<string>")
-    as_is = base.where("size(__e) = 0").withColumns({"n_entities": F.lit(0).cast("long"), "entity_kinds": empty}).drop("__e", "__r1", "__r2")
-    rewritten = rewritten.withColumns({"text": F.array_join(pieces, ""), "n_entities": F.size("__e").cast("long"), "entity_kinds": F.col("__kinds")})
+    as_is = base.where("size(__f) = 0").withColumns({"n_entities": F.lit(0).cast("long"), "entity_kinds": empty}).drop("__e", "__f", "__r1", "__r2")
+    rewritten = rewritten.withColumns({"text": F.array_join(pieces, ""), "n_entities": F.size("__f").cast("long"), "entity_kinds": F.col("__kinds")})
     return as_is.unionByName(rewritten.select(*as_is.columns))
 
 

@@ -415,6 +415,22 @@ def test_surrogates(spark, odd):
     assert pseudonymise(odd).where("n_entities > 0").count() == 0 and pseudonymise(empty(spark)).count() == 0
 
 
+def test_surrogates_of_upper_case_long_secrets_and_cards_of_other_lengths(spark):
+    secrets = ["9233A8EC" * 5, "9233a8ec" * 5, "0a1B" * 10, "ab12" * 50, "FACE" * 9]
+    cards = ["378282246310005", "3782 822463 10005", "4222222222222", "6304000000000000000", "4111111111111111"]
+    plain = ["378282246310006", "1700000000000", "1234567890123456789"]
+    rows = [(1, "TOKEN = " + "; ".join(secrets)), (2, "; ".join(cards + plain)), (3, "at " + plain[1])]
+    out = {r["doc_id"]: r for r in pseudonymise(docs(spark, rows)).collect()}
+    got = out[1]["text"].removeprefix("TOKEN = ").split("; ")
+    assert [len(x) for x in got] == [len(x) for x in secrets] and not set(got) & set(secrets)
+    assert got[0] == got[0].upper() and got[1] == got[1].lower() and got[3] == got[3].lower() and got[4] == got[4].upper()
+    got = out[2]["text"].split("; ")
+    assert got[5:] == plain and not set(got[:5]) & set(cards) and [re.sub(r"\d", "0", x) for x in got] == [re.sub(r"\d", "0", x) for x in cards + plain]
+    luhn = lambda t: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(re.sub(r"\D", "", t)))) % 10
+    assert not any(map(luhn, cards + got[:5])) and all(map(luhn, plain))
+    assert (out[2]["n_entities"], out[2]["entity_kinds"]) == (5, ["card"]) and (out[3]["n_entities"], out[3]["text"]) == (0, rows[2][1])
+
+
 def test_surrogates_collide_and_stay_apart(spark):
     units = spark.createDataFrame([("ssn", f"000-00-{i:04d}") for i in range(300)] + [("secret", f"{i:x}") for i in range(4)], "kind string, unit string")
     out = surrogate_units(units, "k").collect()
