@@ -21,14 +21,18 @@ def sized(df: DataFrame, chosen: Column, size: Column, gross: float, by: Keys =
     return out.select(*by, "date", "ticker", "w")
 
 
-def quad_reversal(panel: DataFrame, threshold: float = 0.1, gross: float = 0.5, weekly: bool = True, by: Keys = ()) -> DataFrame:
-    """Losers by the mean rank of 21- and 63-day returns, raw and over 63-day volatility; inverse-volatility size (G1)."""
-    p = with_returns(panel, (1, 21, 63), by).withColumn("vol", rolling(F.stddev_samp, "ret1", 63, by))
-    p = p.withColumns({"adj21": F.try_divide("ret21", "vol"), "adj63": F.try_divide("ret63", "vol")})
-    names = ["ret21", "ret63", "adj21", "adj63"]
+def quad_reversal(
+    panel: DataFrame, threshold: float = 0.1, gross: float = 0.5, weekly: bool = True, by: Keys = (), short: int = 21, long: int = 63, vol_days: int = 63, size_days: int = 63
+) -> DataFrame:
+    """Losers by the mean rank of `short`- and `long`-day returns, raw and over `vol_days` volatility; sized by the inverse of
+    `size_days` volatility (G1)."""
+    p = with_returns(panel, (1, short, long), by).withColumn("vol", rolling(F.stddev_samp, "ret1", vol_days, by))
+    p = p.withColumn("size_vol", F.col("vol") if size_days == vol_days else rolling(F.stddev_samp, "ret1", size_days, by))
+    p = p.withColumns({"raw_short": F.col(f"ret{short}"), "raw_long": F.col(f"ret{long}"), "adj_short": F.try_divide(f"ret{short}", "vol"), "adj_long": F.try_divide(f"ret{long}", "vol")})
+    names = ["raw_short", "raw_long", "adj_short", "adj_long"]
     p = p.withColumns({f"r_{n}": rank_average(n, by) for n in names})
-    p = p.withColumn("mean_rank", sum((F.col(f"r_{n}") for n in names[1:]), F.col("r_ret21")) / 4.0).withColumn("composite", rank_average("mean_rank", by))
-    w = sized(p, F.col("composite") <= threshold, inverse("vol"), gross, by)
+    p = p.withColumn("mean_rank", sum((F.col(f"r_{n}") for n in names[1:]), F.col("r_raw_short")) / 4.0).withColumn("composite", rank_average("mean_rank", by))
+    w = sized(p, F.col("composite") <= threshold, inverse("size_vol"), gross, by)
     return weekly_last(w, by=by) if weekly else w
 
 

@@ -102,8 +102,9 @@ def sensitivity(panel: DataFrame, signal: Callable[..., DataFrame], params: dict
     weights = reduce(DataFrame.unionByName, [signal(panel, **p).withColumn("strategy_id", F.lit(n)) for n, p in variants])
     daily = with_excess(strat_returns(weights, panel, cfg, ("strategy_id",)), cfg).where(out_of_sample(cfg))
     s = daily.groupBy("strategy_id").agg(sharpe(F.col("ex"), cfg.days_per_year).alias("sharpe"))
-    base = s.where("strategy_id = 'base'").select(F.col("sharpe").alias("base"))
-    return s.crossJoin(F.broadcast(base)).withColumn("delta", F.col("sharpe") - F.col("base")).drop("base")
+    # A window over one row for each variant: a join with the base's row would hold the plan of all variants twice.
+    base = F.max(F.when(F.col("strategy_id") == "base", F.col("sharpe"))).over(Window.partitionBy(F.lit(0)))
+    return s.withColumn("delta", F.col("sharpe") - base)
 
 
 def sensitivity_summary(sweep: DataFrame, limit: float = 0.3) -> DataFrame:

@@ -437,7 +437,7 @@ def null_shuffle_p(s, d):
 
 @query()
 def sensitivity_sweep(s, d):
-    return sim.sensitivity(_flat(s, d), lambda p, days, share: sg.residual_reversal(p, days, share), {"days": 21, "share": 0.1}, CFG)
+    return sim.sensitivity(_flat(s, d), sg.quad_reversal, {"short": 21, "long": 63, "vol_days": 63, "size_days": 63, "threshold": 0.1, "gross": 0.5}, CFG)
 
 
 @query("SELECT upper(status) AS status, count(*) AS n, round((SELECT count(*) FILTER (status = 'keep') / CAST(count(*) FILTER (status <> 'crash') AS DOUBLE) FROM log), 8) AS keep_rate FROM log GROUP BY 1", base=_LOG)

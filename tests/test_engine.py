@@ -178,6 +178,14 @@ def test_bootstrap_and_sweep(spark, sf_dir):
     assert s["variants"] == 4 and s["max_abs_delta"] >= 0
 
 
+def test_sweep_query_moves_all_candidates(spark, sf_dir):
+    p = fx.panel_flat(spark, sf_dir)
+    alone = lambda **k: bt.with_excess(bt.strat_returns(sg.quad_reversal(p, **k), p, CFG), CFG).where(bt.out_of_sample(CFG)).agg(bt.sharpe(F.col("ex"), CFG.days_per_year).alias("s")).first()["s"]
+    got = {r["strategy_id"]: r["sharpe"] for r in QUERIES["sensitivity_sweep"](spark, sf_dir).collect()}
+    assert set(got) == {"base", "short=17", "short=25", *(f"{k}={v}" for k in ("long", "vol_days", "size_days") for v in (50, 76)), "threshold=0.08", "threshold=0.12", "gross=0.4", "gross=0.6"}
+    assert math.isclose(got["base"], alone(), rel_tol=1e-9) and math.isclose(got["size_days=50"], alone(size_days=50), rel_tol=1e-9)
+
+
 def test_shuffle_keeps_each_names_returns(spark):
     p = prices(spark, [100, 110, 99, 104, 120])
     k = sim.shuffled_panels(p, 3, 7)
