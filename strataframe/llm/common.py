@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -35,7 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of whole texts: few rows each, so that long texts fit a Python worker.
+    """Arrow batches of whole texts: few rows each, so that long texts fit a Python worker. Sets the session's
+    spark.sql.execution.arrow.maxRecordsPerBatch, which plans read when they run; Spark's own bound in bytes stays.
 
     Also lets workers on this machine find this package; on a cluster it is installed or sent with --py-files.
     """
@@ -46,6 +51,35 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def map_texts(df: DataFrame, make, schema: str) -> DataFrame:
+    """`df` without its column `text`, beside the columns of `schema` that Python computes from it.
+
+    `make()` is called once a task and gives a function from a list of texts (None for null) to the new columns, or to
+    (rows, columns) where `rows` says which row of the batch each new row belongs to. Other columns pass through as Arrow
+    data, so that no id loses digits and no type is converted.
+    """
+    small_batches(df.sparkSession)
+    keep = [c for c in df.columns if c != "text"]
+    new = StructType.fromDDL(schema)
+    out = StructType([df.schema[c] for c in keep] + new.fields)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types, f = [to_arrow_type(x.dataType) for x in new.fields], make()
+        for batch in batches:
+            got = f(batch.column("text").to_pylist())
+            old = [batch.column(c) for c in keep]
+            if isinstance(got, tuple):
+                rows, got = got
+                rows = pa.array(rows, pa.int64())
+                old = [c.take(rows) for c in old]
+            columns = [x if isinstance(x, pa.Array) else pa.array(x, t, from_pandas=False) for x, t in zip(got, types)]
+            yield pa.RecordBatch.from_arrays(old + columns, names=[*keep, *new.names])
+
+    return df.select(*keep, "text").mapInArrow(run, out)
+
+
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
     path = tempfile.mkdtemp(prefix="strataframe-")
@@ -53,6 +87,22 @@ def _own_folder() -> str:
     return path
 
 
+_TABLES: list[str] = []
+
+
+@contextlib.contextmanager
+def dropping_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that are written inside once their reader, inside too, has stored its result."""
+    first = len(_TABLES)
+    try:
+        yield
+    finally:
+        for path in _TABLES[first:]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        del _TABLES[first:]
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a folder of our own only in local mode, where none is set."""
     if shared := spark.conf.get("spark.checkpoint.dir", None):
@@ -62,11 +112,18 @@ def work_dir(spark: SparkSession) -> str:
     return _own_folder()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts lineage and outlives lost executors."""
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back: cuts lineage and outlives lost executors.
+
+    The table is removed when the application ends, or before by `dropping_tables` unless `keep`.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/strataframe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    if not keep:
+        _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

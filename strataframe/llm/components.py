@@ -9,7 +9,7 @@ from .common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b), both long; root is the smallest node of its component.
+    """(node, root) for every node of the edges (a, b), of one type with an order; root is the smallest node of its component.
 
     Null ends and loops are ignored. Each round at least halves the nodes that still have edges, so the rounds are
     logarithmic; every round is written to the shared folder.

@@ -7,11 +7,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILARITY, forget_words, small_batches, table, written
+from .common import SHINGLE, SIMILARITY, forget_words, map_texts, row_key, table, written
 from .components import components
 
 #: Bands of rows: a pair at 0.8 shares none of 28 bands of 4 with probability (1 - 0.8^4)^28 < 4e-7.
@@ -19,8 +20,8 @@ BANDS, ROWS = 28, 4
 HASHES = BANDS * ROWS
 #: Hashes compared in each step, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-7
-#: Members of one block of a bucket; larger buckets are dealt over pairs of blocks.
-BLOCK = 128
+#: Members of one block of a bucket; larger buckets are dealt over pairs of blocks. Bytes of sets in a block, on average.
+BLOCK, PART_BYTES = 128, 32 << 20
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _KEY = ["band", "key", "bi", "bj"]
@@ -85,22 +86,27 @@ def least_matches(similarity: float = SIMILARITY, tolerance: float = TOLERANCE)
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    def sketch(batches):
+    """Row key, doc_id and the sketch of each row: `s` names the set by 128 bits of its content (null without words)."""
+
+    def sketch():
         shingles = Shingler()
-        for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"].array, pdf["text"]):
+
+        def of(texts):
+            names, sizes, signatures = [], [], []
+            for text in texts:
                 s = shingles(text)
-                if pd.isna(doc) or not len(s):
-                    rows.append((None if pd.isna(doc) else int(doc), 0, 0, 0, b"", []))
-                    continue
-                s1, s2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
-                sig = signature(s)
-                rows.append((int(doc), s1, s2, len(s), sig.tobytes(), np.frombuffer(sig.tobytes(), "<i8")))
-            yield pd.DataFrame(rows, columns=["doc_id", "s1", "s2", "n", "sig", "bands"]).astype({"doc_id": "Int64"})
+                names.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sizes.append(len(s))
+                signatures.append(signature(s) if len(s) else np.zeros(0, "<u2"))
+            ends = np.cumsum([0, *(len(x) // ROWS for x in signatures)])
+            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(signatures).view("<i8") if signatures else [], pa.int64()))
+            return [names, sizes, [x.tobytes() for x in signatures], bands]
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, s1 long, s2 long, n int, sig binary, bands array<long>")
+        return of
+
+    r1, r2 = row_key(F.col("doc_id"), F.col("text"))
+    rows = docs.select(r1.alias("r1"), r2.alias("r2"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_texts(rows, sketch, "s binary, n int, sig binary, bands array<long>")
 
 
 def _whole_groups(batches):
@@ -121,7 +127,8 @@ def _whole_groups(batches):
 
 
 def _survivors(pdf: pd.DataFrame, steps: list[tuple[int, int]], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group that outlive the pruning and have this band as their first in common."""
+    """Pairs of rows of one group that outlive the pruning and have this band as their first in common. Pairs of one core
+    are counted already."""
     sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(-1, HASHES)
     keys = [pdf[c].to_numpy() for c in _KEY]
     new = np.ones(len(pdf), bool)
@@ -129,11 +136,12 @@ def _survivors(pdf: pd.DataFrame, steps: list[tuple[int, int]], similarity: floa
         new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
     group = np.cumsum(new)
     band, blk, n, cross = keys[0], pdf["blk"].to_numpy(), pdf["n"].to_numpy(), keys[2] != keys[3]
+    core = pd.factorize(pdf["core"])[0]
     left, right = [], []
     for d in range(1, int(np.bincount(group).max(initial=1))):
         i = np.flatnonzero(group[d:] == group[:-d])
         j = i + d
-        ok = (~cross[i] | (blk[i] != blk[j])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+        ok = (~cross[i] | (blk[i] != blk[j])) & (core[i] != core[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
         i, j = i[ok], j[ok]
         same, seen = np.zeros(len(i), int), 0
         for upto, least in steps:
@@ -172,63 +180,114 @@ def _verify(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: fl
     return ok
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of `docs`: doc_id, class_id, n_links, n_copies.
+def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(s, set) for each wanted (s, r1, r2), from the text of that row."""
+
+    def make():
+        shingles = Shingler()
+        return lambda texts: [[shingles(t).tobytes() for t in texts]]
+
+    r1, r2 = row_key(F.col("doc_id"), F.col("text"))
+    rows = docs.select(r1.alias("r1"), r2.alias("r2"), "text")
+    # Both sides grow with the documents: merged at every size, never broadcast. Repeated rows give a set again.
+    found = rows.join(wanted.hint("merge"), ["r1", "r2"]).select("s", "text")
+    return map_texts(found, make, "set binary").dropDuplicates(["s"])
+
 
-    Words are runs of letters, digits and underscores, lower-cased; texts are sets of five-word shingles. class_id is the
-    smallest doc_id of the connected component of links; n_links is the number of other documents at a Jaccard similarity
-    of at least `similarity`, copies included; n_copies of them have the same set. Copies are one member of the join, and
-    links are counted where they are verified, so no list of all pairs is ever made. Texts without words link to nothing;
-    rows with a null doc_id get a null class and no links. Rows that share a doc_id are one document.
+def _cores(big: DataFrame, sets: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
+    """(s, core) for the sets of large buckets that lie close to a pivot, exactly checked.
+
+    Of each large bucket the set that meets most others there and elsewhere is the pivot, and a set takes the best pivot of
+    its buckets. Jaccard distance is a metric: sets within half of the allowed distance of one pivot are links of each
+    other, so a group of near copies is counted by its size and its pairs are never made. Members of a pivot are dealt over
+    parts of bounded bytes, each with a copy of the pivot's set; a part is read as a stream.
     """
+    score = big.groupBy("s").agg(F.sum("m").alias("score"))
+    scored = written(big.join(score.hint("merge"), "s"), "scored")
+    top = written(scored.groupBy("band", "key").agg(F.max(F.struct("score", "s")).alias("top")), "tops")
+    best = scored.join(top.hint("merge"), ["band", "key"]).groupBy("s").agg(F.max("top").alias("top"))
+    best = best.select("s", F.col("top.s").alias("pivot")).join(sets.select("s", "n").hint("merge"), "s")
+    best = written(best, "pivots")
+    sizes = best.groupBy("pivot").agg(F.sum(F.col("n").cast("long") * 8 + 64).alias("bytes"))
+    parts = sizes.select("pivot", F.ceil(F.col("bytes") / PART_BYTES).cast("int").alias("parts"))
+    dealt = best.join(parts.hint("merge"), "pivot").select("s", "pivot", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("part"))
+    members = dealt.join(contents.hint("merge"), "s").select("pivot", "part", F.lit(1).alias("kind"), "s", "set")
+    pivots = parts.join(contents.select(F.col("s").alias("pivot"), "set").hint("merge"), "pivot")
+    pivots = pivots.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("pivot").alias("s"), "set")
+    half = (1 + similarity) / 2
+
+    def near(batches):
+        pivot = None
+        for pdf in batches:
+            rows = []
+            for p, kind, s, data in zip(pdf["pivot"], pdf["kind"], pdf["s"], pdf["set"]):
+                one = np.frombuffer(data, np.uint64)
+                if not kind:
+                    pivot = one
+                    continue
+                both = len(np.intersect1d(pivot, one, assume_unique=True))
+                if both >= half * (len(pivot) + len(one) - both):
+                    rows.append((s, p))
+            yield pd.DataFrame(rows, columns=["s", "core"])
+
+    stream = members.unionByName(pivots).repartition("pivot", "part").sortWithinPartitions("pivot", "part", "kind")
+    return stream.mapInPandas(near, "s binary, core binary")
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """near_duplicates() with the key of the row, r1 and r2, and `root`, which names its class (null without words)."""
     steps = least_matches(similarity)
     sketched = written(_sketches(docs), "sketches")
-    sets = sketched.where("n > 0").groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
-    )
-    sets = written(sets, "sets")
-    banded = sets.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = written(banded.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    live = sketched.where("n > 0")
+    ids = live.select("s", "doc_id").distinct().groupBy("s").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"))
+    sets = live.groupBy("s").agg(F.min(F.struct("r1", "r2")).alias("r"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    sets = written(sets.join(ids.hint("merge"), "s"), "sets")
+    banded = sets.select("s", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = written(banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.sum("n").alias("size")).where("m > 1"), "buckets")
     # Signatures travel only with members of shared buckets.
-    shared = written(banded.join(buckets.hint("merge"), ["band", "key"]), "members")
-    members = (
-        shared.join(sets.select("rep", "n", "copies", "sig").hint("merge"), "rep")
-        .withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("band", "key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rep", "n", "copies", "sig")
-    )
-    spread = members.repartition(*_KEY).sortWithinPartitions(*_KEY)
+    shared = written(banded.drop("n").join(buckets.hint("merge"), ["band", "key"]), "members")
+    contents = written(_shingle_sets(docs, shared.select("s").distinct().join(sets.select("s", "r.r1", "r.r2").hint("merge"), "s")), "contents")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") * 8 / PART_BYTES)).cast("int")
+    big = shared.where(F.col("m") > BLOCK).select("s", "band", "key", "m", blocks.alias("rest"))
+    cores = written(_cores(big, sets, contents, similarity) if not big.isEmpty() else sets.select("s", F.col("s").alias("core")).where("false"), "cores")
+    # In a large bucket the members of its largest core are not compared with each other: they only meet the others.
+    cored = written(big.join(cores.hint("merge"), "s", "left").withColumn("core", F.coalesce("core", "s")), "cored")
+    largest = cored.groupBy("band", "key", "m", "core").count().groupBy("band", "key", "m").agg(F.max(F.struct("count", "core")).alias("l"))
+    largest = written(largest.where(F.col("l.count") > BLOCK).select("band", "key", F.col("l.core").alias("heavy"), F.col("l.count").alias("h")), "heavy")
+    cored = cored.join(largest.hint("merge"), ["band", "key"], "left").where("h is null or h < m")
+    in_heavy = F.coalesce(F.col("core") == F.col("heavy"), F.lit(False))
+    per = F.col("rest") / F.col("m")
+    cored = cored.withColumn("pl", F.ceil(F.coalesce("h", F.lit(0)) * per).cast("int")).withColumn("ps", F.ceil((F.col("m") - F.coalesce("h", F.lit(0))) * per).cast("int"))
+    at = F.xxhash64("s")
+    blk = F.when(in_heavy, F.col("ps") + F.pmod(at, F.greatest("pl", F.lit(1)))).otherwise(F.pmod(at, F.col("ps"))).cast("int")
+    last = F.when(in_heavy, F.col("ps") - 1).otherwise(F.col("ps") + F.col("pl") - 1)
+    few = shared.where(F.col("m") <= BLOCK).withColumn("ps", blocks)
+    few = few.select("s", "band", "key", F.pmod(at, F.col("ps")).cast("int").alias("blk"), (F.col("ps") - 1).alias("last"))
+    members = few.unionByName(cored.select("s", "band", "key", blk.alias("blk"), last.alias("last")))
+    tagged = sets.select("s", "n", "copies", "sig").join(cores.hint("merge"), "s", "left").withColumn("core", F.coalesce("core", "s"))
+    members = members.join(tagged.hint("merge"), "s").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    columns = [*_KEY, "blk", "s", "core", "n", "copies", "sig"]
+    spread = members.withColumns({"bi": F.least("blk", "other"), "bj": F.greatest("blk", "other")}).select(*columns).repartition(*_KEY).sortWithinPartitions(*_KEY)
 
     def candidates(batches):
         for pdf in _whole_groups(batches):
             i, j = _survivors(pdf, steps, similarity)
             if len(i):
-                yield pdf.iloc[np.unique(np.concatenate([i, j]))][[*_KEY, "blk", "rep", "n", "copies", "sig"]]
+                yield pdf.iloc[np.unique(np.concatenate([i, j]))][columns]
 
-    schema = "band int, key long, bi int, bj int, blk int, rep long, n int, copies long, sig binary"
+    schema = "band int, key long, bi int, bj int, blk int, s binary, core binary, n int, copies long, sig binary"
     wanted = written(spread.mapInPandas(candidates, schema), "candidates")
 
-    def shingle_sets(batches):
-        shingles = Shingler()
-        for pdf in batches:
-            yield pd.DataFrame({"rep": pdf["doc_id"], "set": [shingles(t).tobytes() for t in pdf["text"]]})
-
-    reps = wanted.select("rep").distinct()
-    # Both sides of these joins grow with the documents: merged at every size, never broadcast.
-    texts = docs.select("doc_id", "text").join(reps.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
-    contents = texts.mapInPandas(shingle_sets, "rep long, set binary").dropDuplicates(["rep"])
-
     def links(batches):
         for pdf in _whole_groups(batches):
             i, j = _survivors(pdf, steps, similarity)
             if not len(i):
                 continue
-            ok = _verify([np.frombuffer(s, np.uint64) for s in pdf["set"]], i, j, similarity)
+            ok = _verify([np.frombuffer(x, np.uint64) for x in pdf["set"]], i, j, similarity)
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
-            rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
+            s, copies = pdf["s"].to_numpy(), pdf["copies"].to_numpy()
             count, root = np.zeros(len(pdf), np.int64), {}
             np.add.at(count, i, copies[j])
             np.add.at(count, j, copies[i])
@@ -239,56 +298,103 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                     x = root[x]
                 return x
 
-            for a, b in zip(rep[i].tolist(), rep[j].tolist()):
+            for a, b in zip(s[i].tolist(), s[j].tolist()):
                 a, b = find(a), find(b)
                 root[max(a, b)] = min(a, b)
             at = np.flatnonzero(count)
-            yield pd.DataFrame({"rep": rep[at], "links": count[at], "root": [find(x) for x in rep[at].tolist()]})
-
-    verified = wanted.join(contents.hint("merge"), "rep").repartition(*_KEY).sortWithinPartitions(*_KEY).mapInPandas(links, "rep long, links long, root long")
-    verified = written(verified, "links")
-    counts = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    classes = (
-        sets.select("s1", "s2", "rep", "copies").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("s1", "s2", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+            yield pd.DataFrame({"s": s[at], "links": count[at], "root": [find(x) for x in s[at].tolist()]})
+
+    verified = wanted.join(contents.hint("merge"), "s").repartition(*_KEY).sortWithinPartitions(*_KEY).mapInPandas(links, "s binary, links long, root binary")
+    with_copies = cores.join(sets.select("s", "copies").hint("merge"), "s")
+    whole = with_copies.groupBy("core").agg(F.sum("copies").alias("whole"))
+    of_cores = with_copies.join(whole.hint("merge"), "core").select("s", (F.col("whole") - F.col("copies")).alias("links"), F.col("core").alias("root"))
+    verified = written(verified.unionByName(of_cores), "links")
+    counts = verified.groupBy("s").agg(F.sum("links").alias("links"))
+    roots = components(verified.select(F.col("s").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "s")
+    found = sets.select("s", "copies", "low").join(counts.hint("merge"), "s", "left").join(roots.hint("merge"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    found = written(found, "found")
+    lows = found.groupBy("root").agg(F.min("low").alias("class_id"))
+    classes = found.join(lows.hint("merge"), "root").select(
+        "s", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies")
     )
-    none = F.lit(0).cast("long")
+    classes, none = written(classes, "classes"), F.lit(0).cast("long")
     return (
-        sketched.where("n > 0").select("doc_id", "s1", "s2").join(classes.hint("merge"), ["s1", "s2"]).select("doc_id", "class_id", "n_links", "n_copies")
-        .unionByName(sketched.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_copies")))
+        live.select("r1", "r2", "doc_id", "s").join(classes.hint("merge"), "s").drop("s")
+        .unionByName(sketched.where("n = 0").select("r1", "r2", "doc_id", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_copies")))
     )
 
 
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row for each row of `docs`: doc_id, class_id, n_links, n_copies.
+
+    Words are runs of letters, digits and underscores, lower-cased; texts are sets of five-word shingles. A document is a
+    doc_id with a set: rows that repeat it are one document, different texts under one doc_id are several, and a null
+    doc_id is an id like others. class_id is the smallest doc_id of the connected component of links (null if it has none);
+    n_links is the number of other documents at a Jaccard similarity of at least `similarity`, copies included; n_copies
+    of them have the same set. Texts without words link to nothing, their class is their doc_id. An empty table gives an
+    empty table; other columns are not read.
+
+    Copies are one member of the join, links are counted where they are verified, and tight groups are counted by their
+    cores, so no list of all pairs is ever made.
+    """
+    return near_duplicate_classes(docs, similarity).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def one_of_each_class(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """`docs` with one row of each class: the one with the smallest doc_id (a null one last), ties by the row's content.
+
+    Of repeated rows of a text with words one stays; rows whose text has no words all stay.
+    """
+    classes = written(near_duplicate_classes(docs, similarity), "row-classes")
+    live = classes.where("root is not null")
+    first = live.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")).alias("k"))
+    kept = live.groupBy("r1", "r2").agg(F.count("*").alias("__rows")).join(first.select("k.r1", "k.r2").hint("merge"), ["r1", "r2"], "left_semi")
+    kept = kept.unionByName(classes.where("root is null").select("r1", "r2").distinct().withColumn("__rows", F.lit(1).cast("long")))
+    kept = written(kept.withColumnsRenamed({"r1": "__r1", "r2": "__r2"}), "kept-rows")
+    r1, r2 = row_key(F.col("doc_id"), F.col("text"))
+    found = docs.withColumns({"__r1": r1, "__r2": r2}).join(kept.hint("merge"), ["__r1", "__r2"])
+    once = found.where("__rows = 1").select(*docs.columns)
+    again = found.where("__rows > 1").groupBy("__r1", "__r2").agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return once.unionByName(again)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() over all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: All pairs that share a shingle, counted exactly; classes by reachability.
+#: All pairs of documents that share a shingle, counted exactly; classes by reachability. A document is a doc_id with a set.
 SQL = r"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS t, doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)
 ), tokens AS (
-  SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words
+  SELECT t, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM texts
 ), grams AS (
-  SELECT doc_id, n, i, concat_ws(' ', x, lead(x, 1) OVER d, lead(x, 2) OVER d, lead(x, 3) OVER d, lead(x, 4) OVER d) AS g
-  FROM tokens WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+  SELECT t, n, i, concat_ws(' ', x, lead(x, 1) OVER d, lead(x, 2) OVER d, lead(x, 3) OVER d, lead(x, 4) OVER d) AS g
+  FROM tokens WINDOW d AS (PARTITION BY t ORDER BY i)
+), text_sets AS (
+  SELECT DISTINCT t, g FROM grams WHERE i <= greatest(1, n - 4)
+), named AS (
+  SELECT t, md5(string_agg(g, chr(10) ORDER BY g)) AS name FROM text_sets GROUP BY t
+), members AS (
+  SELECT DISTINCT t, min(t) OVER (PARTITION BY doc_id, name) AS m, doc_id FROM named JOIN texts USING (t)
 ), sets AS (
-  SELECT DISTINCT doc_id, g FROM grams WHERE i <= greatest(1, n - 4)
+  SELECT t AS m, g FROM text_sets WHERE t IN (SELECT m FROM members)
 ), sizes AS (
-  SELECT doc_id, count(*) AS size FROM sets GROUP BY 1
+  SELECT m, count(*) AS size FROM sets GROUP BY 1
 ), common AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+  SELECT a.m AS a, b.m AS b, count(*) AS shared FROM sets a JOIN sets b ON a.g = b.g AND a.m <> b.m GROUP BY 1, 2
 ), links AS (
   SELECT a, b, shared = sa.size AND shared = sb.size AS copies
-  FROM common JOIN sizes sa ON a = sa.doc_id JOIN sizes sb ON b = sb.doc_id WHERE 5 * shared >= 4 * (sa.size + sb.size - shared)
+  FROM common JOIN sizes sa ON a = sa.m JOIN sizes sb ON b = sb.m WHERE 5 * shared >= 4 * (sa.size + sb.size - shared)
 ), reached AS (
-  SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT b, root FROM reached JOIN links ON a = node
+  SELECT m AS node, m AS root FROM sizes UNION SELECT b, root FROM reached JOIN links ON a = node
 ), classes AS (
-  SELECT node, min(root) AS class_id FROM reached GROUP BY 1
+  SELECT node, min(doc_id) AS class_id FROM reached JOIN (SELECT DISTINCT m, doc_id FROM members) ON root = m GROUP BY 1
 ), counts AS (
   SELECT a, count(*) AS n_links, count(*) FILTER (copies) AS n_copies FROM links GROUP BY 1
 )
-SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 0) AS n_copies
-FROM documents JOIN classes ON node = doc_id LEFT JOIN counts ON a = doc_id
+SELECT d.doc_id, CASE WHEN m.m IS NULL THEN d.doc_id ELSE class_id END AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 0) AS n_copies
+FROM documents d JOIN texts x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text IS NOT DISTINCT FROM x.text
+LEFT JOIN members m ON x.t = m.t LEFT JOIN classes ON node = m.m LEFT JOIN counts ON a = m.m
 """

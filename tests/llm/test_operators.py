@@ -5,13 +5,15 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 from strataframe.llm import common
 from strataframe.llm.components import components
 from strataframe.llm.decontaminate import contaminated, decontaminate
-from strataframe.llm.jaccard_join import BANDS, ROWS, _sketches, least_matches, near_duplicates, signature
+from strataframe.llm.jaccard_join import BANDS, ROWS, _sketches, least_matches, near_duplicates, one_of_each_class, signature
+from strataframe.llm.jaccard_join import SQL as JACCARD_SQL
 from strataframe.llm.language_id import identify_languages, train_language_tree
 from strataframe.llm.line_dedup import line_dedup
 from strataframe.llm.packing import best_fit_pack, pack_documents, plan_slots, token_pieces
@@ -301,8 +303,89 @@ def test_jaccard_join(spark, odd):
                 root[max(x, y)] = min(x, y)
     out = {r["doc_id"]: r for r in near_duplicates(docs(spark, rows)).collect()}
     assert {i: (out[i]["class_id"], out[i]["n_links"]) for i in ids} == {i: (find(i), links[i]) for i in ids}
-    assert near_duplicates(odd).count() == odd.count() and near_duplicates(empty(spark)).count() == 0
-    assert near_duplicates(odd).where("doc_id is null").first()["class_id"] is None
+    assert near_duplicates(empty(spark)).count() == 0
+
+
+def test_jaccard_join_of_odd_rows(spark, odd):
+    """A document is a doc_id with a set: a repeated row counts once, other texts under the id are other documents."""
+    got = [tuple(r) for r in near_duplicates(odd).collect()]
+    assert sorted(got, key=str) == sorted([(None, None, 0, 0), *((i, i, 0, 0) for i in (1, 2, 3, 3, 4, 5, 6))], key=str)
+    a, b, c = prose(80, 41), prose(80, 42), prose(80, 43)
+    rows = [(1, a), (1, a), (1, b), (2, b + " more"), (2, b + " more"), (7, c), (None, c), (None, c.upper()), (9, c + " more"), (5, b), (5, b)]
+    got = [tuple(r) for r in near_duplicates(docs(spark, rows)).collect()]
+    want = [(1, 1, 0, 0)] * 2 + [(1, 1, 2, 1)] + [(2, 1, 2, 0)] * 2 + [(5, 1, 2, 1)] * 2 + [(7, 7, 2, 1), (None, 7, 2, 1), (None, 7, 2, 1), (9, 7, 2, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    db = duckdb.connect()
+    documents = docs(spark, rows).toArrow()  # noqa: F841
+    assert sorted(db.sql(JACCARD_SQL).fetchall(), key=str) == sorted(want, key=str)
+    left = one_of_each_class(docs(spark, rows + [(3, ""), (3, ""), (4, None)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left if r["text"]) == sorted([(1, a), (1, b), (7, c)])
+    assert sum(not r["text"] for r in left) == 3 and len(left[0]) == len(SCHEMA.split(", "))
+    assert one_of_each_class(odd).count() == odd.count() - 1 and one_of_each_class(empty(spark)).count() == 0
+
+
+def near_copies(base, n, seed):
+    """Copies of one text with a word changed each, most of them far apart, some alike."""
+    r, rows = random.Random(seed), [(0, " ".join(base))]
+    for i in range(1, n):
+        w = list(base)
+        for _ in range(r.choice([1, 1, 1, 2, 3])):
+            w[r.randrange(len(w))] = r.choice(VOCAB)
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_jaccard_join_of_a_large_group(spark):
+    """Buckets of many blocks: cores and pairs together count what all pairs count."""
+    rows = near_copies(prose(110, 5).split(), 900, 6) + [(2000 + i, prose(90, 3000 + i // 2)) for i in range(40)]
+    sets = brute_sets(rows)
+    number, of = {}, {i: i for i, _ in rows}
+    for x in sets.values():
+        for g in x:
+            number.setdefault(g, len(number))
+    ids = list(sets)
+    m = np.zeros((len(ids), len(number)), np.float32)
+    for k, i in enumerate(ids):
+        m[k, [number[g] for g in sets[i]]] = 1
+    both, size = m @ m.T, m.sum(1)
+    hit = both >= 0.8 * (size[:, None] + size - both) - 1e-6
+    np.fill_diagonal(hit, False)
+    for k, i in enumerate(ids):  # classes by spreading the least id
+        stack = [k] if of[i] == i else []
+        while stack:
+            for j in np.flatnonzero(hit[stack.pop()]):
+                if of[ids[j]] > i:
+                    of[ids[j]] = i
+                    stack.append(j)
+    out = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates(docs(spark, rows)).collect()}
+    assert out == {i: (of[i], int(hit[k].sum())) for k, i in enumerate(ids)} and 0 < hit[:900, :900].mean() < 0.9
+
+
+def shuffled_bytes(spark, job):
+    context = spark._jsparkSession.sparkContext()
+
+    def total():
+        context.listenerBus().waitUntilEmpty()
+        executors = context.statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    before = total()
+    job()
+    return total() - before
+
+
+def test_jaccard_join_shuffles_in_proportion(spark):
+    """One group of near copies, four times as large: its pairs grow sixteenfold, what is shuffled must not."""
+    base = prose(260, 9).split()
+
+    def rows(n):
+        return docs(spark, [(i, " ".join([*base[:k], f"w{i}", *base[k + 1 :]])) for i in range(n) for k in [7 * i % 260]])
+
+    few = shuffled_bytes(spark, lambda: near_duplicates(rows(5000)).count())
+    got = []
+    many = shuffled_bytes(spark, lambda: got.extend(near_duplicates(rows(20000)).collect()))
+    assert {(r["class_id"], r["n_links"], r["n_copies"]) for r in got} == {(0, 19999, 0)}
+    assert 0 < many < 5 * few
 
 
 def test_pruning_table():
