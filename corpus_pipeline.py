@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import table, word_tokenizer_path, written
+from strataframe.llm.common import dropping_tables, table, word_tokenizer_path, written
 from strataframe.llm.decontaminate import decontaminate
-from strataframe.llm.jaccard_join import near_duplicates
+from strataframe.llm.jaccard_join import one_of_each_class
 from strataframe.llm.line_dedup import line_dedup
 from strataframe.llm.packing import pack_documents
 from strataframe.llm.quality import quality_rules, train_line_field
@@ -30,18 +30,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; rows with a null doc_id all stay."""
-    gone = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class stays: the smallest doc_id, a null one last; of repeated rows one. Texts without words all stay."""
+    return one_of_each_class(docs).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark text go."""
+    """Documents that hold benchmark text go; null and empty texts hold none, repeated rows are decided alike."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and place."""
+    """Pieces of all documents with their sequence and place; null and empty texts are one piece, repeated rows have pieces of their own."""
     return pack_documents(docs, word_tokenizer_path())
 
 
@@ -58,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage writes inside is removed once its result is stored."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with dropping_tables(spark):
+            result = stage(spark, docs, sf_dir)
+            docs = written(result, name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
