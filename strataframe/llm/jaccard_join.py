@@ -209,7 +209,8 @@ def _cores(big: DataFrame, sets: DataFrame, contents: DataFrame, similarity: flo
     best = best.select("s", F.col("top.s").alias("pivot")).join(sets.select("s", "n").hint("merge"), "s")
     best = written(best, "pivots")
     sizes = best.groupBy("pivot").agg(F.sum(F.col("n").cast("long") * 8 + 64).alias("bytes"))
-    parts = sizes.select("pivot", F.ceil(F.col("bytes") / PART_BYTES).cast("int").alias("parts"))
+    # This and the other sides of joins on hot keys are written, so that both sides are plain exchanges, which Spark can split.
+    parts = written(sizes.select("pivot", F.ceil(F.col("bytes") / PART_BYTES).cast("int").alias("parts")), "parts")
     dealt = best.join(parts.hint("merge"), "pivot").select("s", "pivot", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("part"))
     members = dealt.join(contents.hint("merge"), "s").select("pivot", "part", F.lit(1).alias("kind"), "s", "set")
     pivots = parts.join(contents.select(F.col("s").alias("pivot"), "set").hint("merge"), "pivot")
@@ -305,15 +306,15 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
             yield pd.DataFrame({"s": s[at], "links": count[at], "root": [find(x) for x in s[at].tolist()]})
 
     verified = wanted.join(contents.hint("merge"), "s").repartition(*_KEY).sortWithinPartitions(*_KEY).mapInPandas(links, "s binary, links long, root binary")
-    with_copies = cores.join(sets.select("s", "copies").hint("merge"), "s")
-    whole = with_copies.groupBy("core").agg(F.sum("copies").alias("whole"))
+    with_copies = written(cores.join(sets.select("s", "copies").hint("merge"), "s"), "core-copies")
+    whole = written(with_copies.groupBy("core").agg(F.sum("copies").alias("whole")), "core-sums")
     of_cores = with_copies.join(whole.hint("merge"), "core").select("s", (F.col("whole") - F.col("copies")).alias("links"), F.col("core").alias("root"))
     verified = written(verified.unionByName(of_cores), "links")
     counts = verified.groupBy("s").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("s").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "s")
     found = sets.select("s", "copies", "low").join(counts.hint("merge"), "s", "left").join(roots.hint("merge"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     found = written(found, "found")
-    lows = found.groupBy("root").agg(F.min("low").alias("class_id"))
+    lows = written(found.groupBy("root").agg(F.min("low").alias("class_id")), "lows")
     classes = found.join(lows.hint("merge"), "root").select(
         "s", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies")
     )

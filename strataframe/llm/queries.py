@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
+from .decontaminate import SQL as DECONTAMINATION_SQL
 from .decontaminate import op1_decontamination
 from .jaccard_join import SQL as JACCARD_JOIN_SQL
 from .jaccard_join import op4_ngram_jaccard_join
@@ -20,4 +21,4 @@ QUERIES = {
         op6_best_fit_packing, op7_quality_rules, op8_language_id, op9_substring_dedup, op10_toxicity,
     )
 }
-ORACLES = {"op2_line_dedup": LINE_DEDUP_SQL, "op4_ngram_jaccard_join": JACCARD_JOIN_SQL}
+ORACLES = {"op1_decontamination": DECONTAMINATION_SQL, "op2_line_dedup": LINE_DEDUP_SQL, "op4_ngram_jaccard_join": JACCARD_JOIN_SQL}
