@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import map_texts, row_key, table, written
 
-#: Bytes between raw cuts on average, bytes since the cut before at least, and characters of a repeated run at least.
+#: Bytes between raw cuts on average, bytes since the cut before at least, and characters of a run that reports list, at least.
 RAW_MEAN, MIN_GAP, MIN_RUN = 20, 8, 100
 #: Bytes of a chunk at most, and bytes from a cut to the next one inside a longer stretch, at least and at most.
 LONGEST, NEAR, FAR = 96, 16, 64
-_CHUNKS = "doc_id long, r1 long, r2 long, start int, length int, d1 long, d2 long"
+_CHUNKS = "at array<int>, d1 array<long>, d2 array<int>, of array<int>"
 
 
 def _gear() -> np.ndarray:
@@ -58,80 +58,102 @@ def chunk_ends(data: bytes, raw_mean: int = RAW_MEAN, min_gap: int = MIN_GAP) ->
     return np.sort(np.concatenate([at, np.array(more, at.dtype)]))
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """One row for each chunk of each whole text: its place in characters and 128 bits of its digest; r1, r2 name the row."""
+def _order(doc_id: Column, row: Column) -> Column:
+    """One number by doc_id (null last), then by place in the input: fixed length, so that its least value needs no sort."""
+    doc = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
+    return (doc * F.lit(str(2**54)).cast("decimal(17,0)") + row.cast("decimal(20,0)")).cast("decimal(38,0)")
 
-    def cut(batches):
-        for pdf in batches:
-            doc, row, start, length, digest = [], [], [], [], []
-            for i, (d, text) in enumerate(zip(pdf["doc_id"].array, pdf["text"])):
-                if not isinstance(text, str) or not text:
-                    continue
-                data = text.encode("utf-8", "surrogatepass")
-                ends = chunk_ends(data)
-                name = xxhash.xxh3_128_digest(data, seed=0 if pd.isna(d) else (int(d) + 1) & (2**64 - 1))
-                lo = 0
+
+def chunk_table(docs: DataFrame) -> DataFrame:
+    """One row for each row of `docs`, written: doc_id, r1 and r2 (the key of its content), `row` (its rank, unique), and arrays
+    with an entry for each chunk of the whole text: d1 and d2, 96 bits of its digest, and `of`, the number of the first chunk
+    of the row with this digest (-1 for the first itself). `at` has the places in characters where chunks start, and the length. Null and empty texts have none.
+    """
+
+    def cut():
+        def of(texts):
+            ats, digests, again = [], [], []
+            for text in texts:
+                data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+                ends, lo, own = chunk_ends(data), 0, []
                 for hi in ends.tolist():
-                    digest.append(xxhash.xxh3_128_digest(data[lo:hi]))
+                    own.append(xxhash.xxh3_128_digest(data[lo:hi]))
                     lo = hi
-                chars = ends if len(data) == len(text) else np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[ends - 1]
-                first = np.concatenate([[0], chars[:-1]])
-                doc.append(np.full(len(ends), i))
-                row.append(np.tile(np.frombuffer(name, "<i8"), (len(ends), 1)))
-                start.append(first)
-                length.append(chars - first)
-            if not doc:
-                continue
-            row, digest = np.concatenate(row), np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64").array[np.concatenate(doc)], "r1": row[:, 0], "r2": row[:, 1],
-                "start": np.concatenate(start).astype("int32"), "length": np.concatenate(length).astype("int32"), "d1": digest[:, 0], "d2": digest[:, 1],
-            })
-
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(cut, _CHUNKS)
-
-
-def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """Runs of chunks, of at least `min_run` characters together, that documents with a smaller doc_id hold too.
-
-    The smallest doc_id that holds a chunk keeps it; a null doc_id keeps none unless no other document has it. Returns
-    doc_id, first_doc_id (the smallest doc_id that holds a chunk of the run), start, length in characters, and r1, r2,
-    which name the row; repeated rows count once. Null and empty texts have no chunks.
+                chars = ends if not isinstance(text, str) or len(data) == len(text) else np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[ends - 1]
+                ats.append(np.concatenate([[0], chars]).astype(np.int32))
+                seen: dict[bytes, int] = {}
+                again += [-1 if (k := seen.setdefault(x, i)) == i else k for i, x in enumerate(own)]
+                digests += own
+            d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            n = np.array([len(x) - 1 for x in ats], np.int64)
+            ends, all_ends = np.cumsum([0, *n]).astype(np.int32), np.cumsum([0, *(n + 1)]).astype(np.int32)
+            at = np.concatenate(ats) if ats else np.zeros(0, np.int32)
+            lists = [(ends, d[:, 0].copy()), (ends, d[:, 1].astype(np.int32)), (ends, np.array(again, np.int32))]
+            return [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v)) for e, v in [(all_ends, at), *lists]]
+
+        return of
+
+    r1, r2 = row_key(F.col("doc_id"), F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), r1.alias("r1"), r2.alias("r2"), "text", F.monotonically_increasing_id().alias("__id"))
+    rows = rows.select("doc_id", "r1", "r2", _order(F.col("doc_id"), F.col("__id")).alias("row"), "text")
+    return written(map_texts(rows, cut, _CHUNKS), "chunks")
+
+
+def duplicate_chunks(chunks: DataFrame) -> DataFrame:
+    """The dedup: every chunk but the first with its digest. Returns row, pos (its number in the row) and first (the row that
+    keeps the digest).
+
+    Chunks rank by doc_id, row and place; the first stays. Of a row's chunks with one digest only the first is joined.
     """
-    chunks = chunk_rows(docs)
-    shared = (
-        chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.count("doc_id").alias("named"))
-        .where((F.col("first") < F.col("last")) | (F.col("named") < F.col("n")) & F.col("first").isNotNull())
-        .select("d1", "d2", "first")
-    )
+    each = chunks.select("row", F.posexplode(F.arrays_zip("d1", "d2", "of")).alias("pos", "c")).select("row", "pos", "c.d1", "c.d2", "c.of")
+    once = each.where("of < 0").drop("of")
+    shared = once.groupBy("d1", "d2").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
     # Written, so that both sides of the join are plain exchanges, which Spark can split where a chunk is very common.
     shared = written(shared, "shared-chunks")
-    hits = (
-        chunks.join(shared, ["d1", "d2"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-        .groupBy("r1", "r2", "start", "length", "doc_id").agg(F.min("first").alias("first"))
-    )
-    by_row = Window.partitionBy("r1", "r2").orderBy("start")
-    breaks = (F.col("start") != F.coalesce(F.lag(F.col("start") + F.col("length")).over(by_row), F.lit(-1))).cast("int")
-    return (
-        hits.withColumn("__new", breaks).withColumn("__run", F.sum("__new").over(by_row))
-        .groupBy("r1", "r2", "doc_id", "__run")
-        .agg(F.min("first").alias("first_doc_id"), F.min("start").alias("start"), F.sum("length").alias("length"))
-        .where(F.col("length") >= min_run).drop("__run")
-    )
+    others = once.join(shared, ["d1", "d2"]).where(F.col("row") > F.col("first")).select("row", "pos", F.col("pos").alias("of"), "first")
+    again = each.where("of >= 0").select("row", "pos", "of", F.col("row").alias("first"))
+    keeper = F.min("first").over(Window.partitionBy("row", "of"))
+    return others.unionByName(again).repartition("row").select("row", "pos", keeper.alias("first"))
+
+
+def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, chunks: DataFrame | None = None) -> DataFrame:
+    """A report of the dedup: runs of neighbouring repeated chunks of at least `min_run` characters together (1: all of them).
+
+    Returns doc_id, first_doc_id (the smallest doc_id that keeps a chunk of the run), start, length in characters, and r1, r2,
+    which name the row by its content. Copies inside one text are found as those in others are. A null doc_id ranks last.
+    Rows that repeat another, doc_id and text, are that row and are listed once; rows that share a doc_id with another text
+    rank by their place in the input. Null and empty texts and empty tables give no rows; other columns are not read.
+    """
+    chunks = chunk_table(docs) if chunks is None else chunks
+    by_row = Window.partitionBy("row").orderBy("pos")
+    hits = duplicate_chunks(chunks).withColumn("__new", (F.col("pos") != F.coalesce(F.lag("pos").over(by_row) + 1, F.lit(-1))).cast("int"))
+    runs = hits.withColumn("__run", F.sum("__new").over(by_row)).groupBy("row", "__run").agg(F.min("first").alias("first"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    # The first of the rows with one content stands for them; the others are copies of it as a whole.
+    own = chunks.groupBy("r1", "r2").agg(F.min("row").alias("row")).select("row")
+    spans = runs.join(chunks.select("row", "doc_id", "r1", "r2", "at").hint("merge"), "row").join(own.hint("merge"), "row", "left_semi")
+    length = F.get("at", F.col("hi") + 1) - F.get("at", "lo")
+    doc = F.floor(F.col("first") / F.lit(str(2**54)).cast("decimal(17,0)"))
+    first = F.when(doc < F.lit(str(2**63)).cast("decimal(20,0)"), doc).cast("long")
+    return spans.select("r1", "r2", "doc_id", first.alias("first_doc_id"), F.get("at", "lo").alias("start"), length.cast("long").alias("length")).where(F.col("length") >= min_run)
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """`docs` with the spans of each row (doc_id, start, length) cut from its text; DataFrame functions only."""
-    by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("__spans"))
+    """`docs` with the spans (r1, r2, start, length) of each row cut from its text; DataFrame functions only.
+
+    A row is its content, so repeated rows are cut alike, rows that share a doc_id each by their own spans, and rows with a
+    null doc_id too. Spans must not overlap; null texts stay null, an empty table or no spans change nothing.
+    """
+    by_row = spans.groupBy(F.col("r1").alias("__r1"), F.col("r2").alias("__r2")).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("__spans"))
     left = F.aggregate(
-        "__spans", F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at")),
-        lambda a, s: F.struct(F.concat(a["t"], F.substr(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("t"), (s["start"] + s["length"]).cast("long").alias("at")),
-        lambda a: F.concat(a["t"], F.substr(F.col("text"), (a["at"] + 1).cast("int"))),
+        "__spans", F.struct(F.array().cast("array<string>").alias("t"), F.lit(0).cast("long").alias("at")),
+        lambda a, s: F.struct(F.concat(a["t"], F.array(F.substr(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")))).alias("t"), (s["start"] + s["length"]).cast("long").alias("at")),
+        lambda a: F.concat(F.array_join(a["t"], ""), F.substr(F.col("text"), (a["at"] + 1).cast("int"))),
     )
-    out = docs.join(by_doc.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
-    return out.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(left)).drop("__id", "__spans")
+    r1, r2 = row_key(F.col("doc_id"), F.col("text"))
+    out = docs.withColumns({"__r1": r1, "__r2": r2}).join(by_row, ["__r1", "__r2"], "left")
+    return out.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeated_spans() of all documents: the runs of 100 characters and more."""
     return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", F.col("start").cast("long"), "length")

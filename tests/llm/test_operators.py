@@ -245,9 +245,50 @@ def test_substring_dedup(spark, odd):
     for i, r in got.items():
         assert text[i][r["start"] : r["start"] + r["length"]] in shared and r["length"] > 0.6 * len(shared)
     cut = {r["doc_id"]: r["text"] for r in cut_spans(d, spans).collect()}
-    r = got[2]
-    assert cut[2] == text[2][: r["start"]] + text[2][r["start"] + r["length"] :] and cut[1] == text[1] and cut[9] is None
-    assert repeated_spans(odd).count() == 0 and repeated_spans(empty(spark)).count() == 0
+    for i, r in got.items():
+        assert cut[i] == text[i][: r["start"]] + text[i][r["start"] + r["length"] :]
+    assert cut[1] == text[1] and cut[9] is None and cut[10] == ""
+    assert repeated_spans(odd.where("doc_id <> 6")).count() == 0 and repeated_spans(empty(spark)).count() == 0
+    assert [r["first_doc_id"] for r in repeated_spans(odd).collect()] == [6]  # one letter 50,000 times
+
+
+def test_substring_dedup_inside_a_document(spark):
+    shared, short = prose(60, 78), prose(14, 79)
+    rows = [(1, f"{prose(20, 1)} {shared} {prose(25, 2)} {shared} {prose(5, 3)}"), (2, prose(30, 4) + " " + short), (3, short + " " + prose(30, 5)), (3, shared), (3, shared)]
+    spans = repeated_spans(docs(spark, rows))
+    got = [(r["doc_id"], r["first_doc_id"], r["start"], r["length"]) for r in spans.collect()]
+    assert sorted((d, f) for d, f, _, _ in got) == [(1, 1), (3, 1)]
+    at = next(s for d, _, s, _ in got if d == 1)
+    assert at > rows[0][1].index(shared) + len(shared)
+    cut = [r["text"] for r in cut_spans(docs(spark, rows), spans).collect()]
+    assert cut[0].startswith(f"{prose(20, 1)} {shared} {prose(25, 2)}") and len(cut[0]) < len(rows[0][1]) - 150 and cut[1:3] == [rows[1][1], rows[2][1]] and cut[3] == cut[4] and len(cut[3]) < 150
+    assert {r["doc_id"] for r in repeated_spans(docs(spark, rows), 30).collect()} == {1, 3} and any(r["start"] < 40 and r["length"] < 100 and r["doc_id"] == 3 for r in repeated_spans(docs(spark, rows[1:3]), 30).collect())
+
+
+def test_substring_dedup_brute_force(spark):
+    """Runs of chunks against a plain pass over the digests of the same chunks, in the order of doc_id."""
+    r = random.Random(31)
+    pool = [prose(r.randint(8, 40), 900 + k) for k in range(25)]
+    rows = [(i, " ".join(r.choice(pool) if r.random() < 0.5 else prose(r.randint(1, 20), 5000 + 20 * i + k) for k in range(9))) for i in range(60)]
+    rows += [(70, "é" + pool[0] + " 漢字 " + pool[0]), (None, pool[1] + " " + pool[2])]
+    for floor in (1, 60, 100):
+        want, seen = set(), {}
+        for i, t in rows:
+            data, lo, runs = t.encode(), 0, []
+            for hi in chunk_ends(data).tolist():
+                part = data[lo:hi]
+                if part in seen:
+                    a, n = len(data[:lo].decode()), len(part.decode())
+                    if runs and runs[-1][0] + runs[-1][1] == a:
+                        runs[-1] = (runs[-1][0], runs[-1][1] + n, min(runs[-1][2], seen[part]))
+                    else:
+                        runs.append((a, n, seen[part]))
+                else:
+                    seen[part] = 99 if i is None else i
+                lo = hi
+            want |= {(i, None if f == 99 else f, a, n) for a, n, f in runs if n >= floor}
+        d = docs(spark, rows).repartition(7)
+        assert {(x["doc_id"], x["first_doc_id"], x["start"], x["length"]) for x in repeated_spans(d, floor).collect()} == want and want
 
 
 def test_substring_dedup_of_repetitive_passages(spark):
@@ -258,11 +299,14 @@ def test_substring_dedup_of_repetitive_passages(spark):
         for i in range(4):
             passage = (unit * 700)[3 * i :][:600]
             rows.append((4 * k + i, prose(20 + i, 60_000 + 4 * k + i) + " " + passage + " " + prose(15, 61_000 + 4 * k + i)))
-    spans = {}
+    spans, inside = {}, set()
     for r in repeated_spans(docs(spark, rows)).collect():
-        spans.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["first_doc_id"]))
+        if r["doc_id"] % 4:
+            spans.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["first_doc_id"]))
+        else:  # the first one repeats itself
+            inside.add((r["doc_id"], r["first_doc_id"]))
     text = dict(rows)
-    assert set(spans) == {i for i, _ in rows if i % 4}
+    assert set(spans) == {i for i, _ in rows if i % 4} and inside == {(i, i) for i, _ in rows if i % 4 == 0}
     for i, found in spans.items():
         assert sum(n for _, n, _ in found) >= 400 and all(first == i - i % 4 for *_, first in found)
         assert all(text[i][a : a + n] in units[i // 4] * 900 for a, n, _ in found)
