@@ -9,37 +9,56 @@ from pyspark.sql import functions as F
 
 from .common import row_key, table, written
 
-#: Titles by gender, in Latin and Cyrillic script.
+#: Titles by gender, in Latin and Cyrillic script; in capitals only before names in capitals.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Sra", "госпожа"], "n": ["Dr", "Prof"]}
+LOUD = {"m": ["MR", "HERR", "MONSIEUR", "SEÑOR"], "f": ["MRS", "MISS", "FRAU", "MADAME", "SEÑORA"]}
+#: How well-known access keys begin.
+KEY_STARTS = ["AKIA", "ASIA", "sk-", "ghp_", "xoxb-", "xoxp-", "AIza"]
+_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+_LOUD = "|".join(t for ts in LOUD.values() for t in ts)
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
+    "ip6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![\d+])(?:(?:\d{4}[ -]?){3}\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)",
+    "phone": r"(?<![\d+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}|\+\d{1,3} \d{2,4} \d{5,8}|0\d{2,4}[ /-]\d{3}[ -]\d{2}[ -]\d{2})(?!\d)",
+    "key": r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|sk-[0-9A-Za-z_-]{20,200}|ghp_[0-9A-Za-z]{36}|xox[bp]-[0-9A-Za-z-]{10,200}|AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z])",
     # Beyond 64 places hexadecimal text without any digit is a run of letters, not a secret.
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,64}|(?=[a-fA-F]*[0-9])[0-9a-fA-F]{65,})(?![0-9A-Za-z])",
-    "name": r"(?<!\p{L})(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}\p{L}{1,30}(?: \p{Lu}\p{L}{1,30})?",
+    "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?|(?:{_LOUD})\.? \p{{Lu}}{{2,31}}(?: \p{{Lu}}{{2,31}})?(?!\p{{L}}))",
 }
 _ALL = "|".join(PATTERNS.values())
-#: What any entity holds: a digit, an at sign or a title; texts without are not searched further.
-_HINT = r"[0-9@]|(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}|[a-fA-F]{32}"
+#: What any entity holds: a digit, an at sign, a title, a long run of hexadecimal letters or how a key begins; texts without are
+#: not searched further.
+_HINT = rf"[0-9@]|(?:{_TITLE}|{_LOUD})\.? \p{{Lu}}|[a-fA-F]{{32}}|sk-|xox[bp]-|[0-9A-Fa-f]::?[0-9A-Fa-f]"
 #: Numbers that are cards only if their check digit is right.
 _CARD_IF_LUHN = r"^(?:\d{13,15}|\d{17,19}|\d{4}[ -]\d{6}[ -]\d{5})$"
+_IBAN = "^" + PATTERNS["iban"] + "$"
 ROUNDS = 64
+#: Letters by script for surrogates: class of characters, first code point, how many follow on.
+SCRIPTS = [
+    (r"\p{IsCyrillic}", 0x430, 32), (r"\p{IsGreek}", 0x3B1, 17), (r"\p{IsArmenian}", 0x561, 38), (r"\p{IsHebrew}", 0x5D0, 27), (r"\p{IsArabic}", 0x628, 19), (r"\p{IsDevanagari}", 0x915, 37),
+    (r"\p{IsThai}", 0xE01, 46), (r"\p{IsHiragana}", 0x304B, 58), (r"\p{IsKatakana}", 0x30AB, 58), (r"\p{IsHangul}", 0xAC00, 11172), (r"\p{IsHan}", 0x4E00, 20000),
+]
+#: Consonants, vowels, and endings of female, male and other given names and of surnames, by script.
+SYLLABLES = [
+    (r"\p{IsCyrillic}", "бвгдклмнрст", "аеиоу", ("на", "слав", "ин")), (r"\p{IsGreek}", "βγδζκλμνπρστ", "αειου", ("να", "ρος", "ης")), ("", "bdfgklmnprstv", "aeiou", ("na", "rd", "son")),
+]
 
 
 def _kind(entity: Column) -> Column:
     out = F.lit("secret")
-    for kind in reversed(["email", "ip", "card", "ssn", "phone", "name"]):
-        out = F.when(entity.rlike("^(?:" + PATTERNS[kind].replace(r"(?<!\p{L})", "") + ")$"), kind).otherwise(out)
+    for kind in reversed(["email", "ip", "ip6", "iban", "card", "ssn", "phone", "key", "name"]):
+        out = F.when(entity.rlike("^(?:" + PATTERNS[kind] + ")$"), kind).otherwise(out)
     return out
 
 
 def _gender(entity: Column) -> Column:
     out = F.lit("n")
     for g in ("f", "m"):
-        out = F.when(entity.rlike("^(?:" + "|".join(TITLES[g]) + r")\.? "), g).otherwise(out)
+        out = F.when(entity.rlike("^(?:" + "|".join(TITLES[g] + LOUD[g]) + r")\.? "), g).otherwise(out)
     return out
 
 
@@ -49,56 +68,109 @@ def _luhn(digits: Column, from_right_odd_doubled: int) -> Column:
     return F.aggregate(d, F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(iban: Column) -> Column:
+    """The remainder of an IBAN without blanks, its first four places put last and letters read as 10 to 35."""
+    turned = F.concat(iban.substr(F.lit(5), F.length(iban)), iban.substr(1, 4))
+
+    def step(a, c):
+        code = F.ascii(c)
+        return F.when(code >= 65, (a * 100 + code - 55) % 97).otherwise((a * 10 + code - 48) % 97)
+
+    return F.aggregate(F.filter(F.split(turned, ""), lambda x: x != ""), F.lit(0), step)
+
+
+def _false_alarm(entity: Column) -> Column:
+    """What a pattern finds but a check digit rules out."""
+    card = entity.rlike(_CARD_IF_LUHN) & (_luhn(F.regexp_replace(entity, "[^0-9]", ""), 1) % 10 != 0)
+    return card | (entity.rlike(_IBAN) & (_mod97(F.replace(entity, F.lit(" "), F.lit(""))) != 1))
+
+
+def _unit(kind: Column, text: Column) -> Column:
+    """What a surrogate stands for: names, addresses and hexadecimal secrets are one in any case of their letters."""
+    return F.when(kind.isin("email", "ip6", "secret") | kind.startswith("given") | (kind == "surname"), F.lower(text)).when(kind == "iban", F.replace(text, F.lit(" "), F.lit(""))).otherwise(text)
+
+
+def _chars(text: Column, one) -> Column:
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
+
+
 def _surrogate(key: str) -> Column:
-    """The surrogate of `unit` of `kind` at `attempt`: digits for digits, letters for letters in their case, the rest kept."""
-    seed = F.concat_ws("\x1f", F.lit(key), "kind", F.when(F.col("kind") == "email", F.lower("unit")).otherwise(F.col("unit")), F.col("attempt").cast("string"))
+    """The surrogate of `unit` of `kind` at `attempt`: digits for digits, letters for letters of their script and case, the
+    rest kept. Addresses and names grow with the attempt, so that they cannot run out; other kinds keep their length."""
+    seed = F.concat_ws("\x1f", F.lit(key), "kind", "unit", F.col("attempt").cast("string"))
     stream = F.concat(F.sha2(seed, 256), F.sha2(F.concat(F.lit("more"), seed), 256))
 
-    def byte(i, modulo):
-        return F.conv(stream.substr((i % 62 * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") % modulo
+    def number(i, modulo):
+        """Three bytes of the stream, which is read again from the start where it ends, with the round mixed in."""
+        at = (i % 60 * 2 + 1).cast("int")
+        return ((F.conv(stream.substr(at, F.lit(6)), 16, 10).cast("long") + F.floor(i / 60) * 7919) % modulo).cast("int")
 
     def like(text):
         def one(c, i):
-            letter = F.char(97 + byte(i, 26))
-            return F.when(c.rlike("[0-9]"), byte(i, 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
+            small = F.char(97 + number(i, 26))
+            for script, first, n in reversed(SCRIPTS):
+                # Code points beyond 255 come from their UTF-16 form.
+                small = F.when(c.rlike(script), F.decode(F.unhex(F.lpad(F.hex(first + number(i, n)), 4, "0")), "UTF-16BE")).otherwise(small)
+            return F.when(c.rlike("[0-9]"), number(i, 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(small)).when(c.rlike(r"\p{L}"), small).otherwise(c)
 
-        return F.array_join(F.transform(F.split(text, ""), one), "")
+        return _chars(text, one)
 
-    unit = F.col("unit")
+    unit, attempt = F.col("unit"), F.col("attempt")
     local = F.substring_index(unit, "@", 1)
-    email = F.concat(like(F.lower(local)), F.lit("@mail"), byte(F.lit(60), 90).cast("string"), F.lit(".example.org"))
-    ip = F.concat_ws(".", (byte(F.lit(0), 223) + 1).cast("string"), byte(F.lit(1), 256).cast("string"), byte(F.lit(2), 256).cast("string"), (byte(F.lit(3), 254) + 1).cast("string"))
+    tag = F.substr(F.conv(F.sha2(F.concat(F.lit("tag"), seed), 256).substr(1, 15), 16, 10), F.lit(1), (2 + 2 * attempt).cast("int"))
+    email = F.concat(like(local), F.lit("@mail"), tag, F.lit(".example.org"))
+    ip = F.concat_ws(".", (number(F.lit(0), 223) + 1).cast("string"), number(F.lit(3), 256).cast("string"), number(F.lit(6), 256).cast("string"), (number(F.lit(9), 254) + 1).cast("string"))
+    ip6 = _chars(unit, lambda c, i: F.when(c.rlike("[0-9a-f]"), F.lower(F.hex((number(i, 15) + 1).cast("long")))).otherwise(c))
     plain = F.regexp_replace(unit, "[^0-9]", "")
     free = like(unit)
     digits = F.regexp_replace(free, "[^0-9]", "")
     body = digits.substr(F.lit(1), F.length(digits) - 1)
     check = ((10 - _luhn(body, 0) % 10) % 10).cast("string")
     card = F.when(_luhn(plain, 1) % 10 == 0, F.concat(free.substr(F.lit(1), F.length(free) - 1), check)).otherwise(free)
-    prefix = F.regexp_extract(unit, r"^\+\d{1,3}", 0)
+    prefix = F.regexp_extract(unit, r"^\+\d{1,3}|^0", 0)
     phone = F.concat(prefix, F.substr(free, F.length(prefix) + 1))
-    low = F.repeat(stream, F.ceil(F.length(unit) / 128).cast("int")).substr(F.lit(1), F.length(unit))
-    by_place = F.array_join(F.transform(F.split(unit, ""), lambda c, i: F.when(c.rlike("[A-F]"), F.upper(low.substr((i + 1).cast("int"), F.lit(1)))).otherwise(low.substr((i + 1).cast("int"), F.lit(1)))), "")
-    secret = F.when(unit == F.lower(unit), low).when(unit == F.upper(unit), F.upper(low)).otherwise(by_place)
-    # Names: syllables of the word's script, with an ending by gender for given names.
-    cyrillic = unit.rlike(r"\p{IsCyrillic}")
-    pick = lambda letters, i: F.lit(letters).substr(byte(F.lit(i), len(letters)) + 1, F.lit(1))
+    start = F.regexp_extract(unit, "^(?:" + "|".join(KEY_STARTS) + ")", 0)
+    access = F.concat(start, F.substr(free, F.length(start) + 1))
+    country, account = unit.substr(1, 2), F.substr(free, F.lit(5))
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account)
+    secret = F.repeat(stream, F.ceil(F.length(unit) / 128).cast("int")).substr(F.lit(1), F.length(unit))
 
     def word(consonants, vowels, ends):
-        body = F.concat(*[pick(consonants if i % 2 == 0 else vowels, i) for i in range(6)])
+        """Syllables, one more each attempt, and an ending by gender for given names."""
+        pair = lambda i: F.concat(*[F.lit(x).substr(number(2 * i + k, len(x)) + 1, F.lit(1)) for k, x in enumerate((consonants, vowels))])
         end = F.when(F.col("kind") == "given_f", ends[0]).when(F.col("kind") == "given_m", ends[1]).otherwise(ends[2])
-        return F.initcap(F.concat(body, end))
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), 2 + attempt), pair), ""), end)
+
+    name = F.concat(free, F.substr(like(F.repeat(unit, 16)), F.length(unit) + 1, attempt))
+    for script, *letters in reversed(SYLLABLES):
+        name = F.when(unit.rlike(script or r"\p{IsLatin}"), word(*letters)).otherwise(name)
+    out = name
+    for kind, value in {"email": email, "ip": ip, "ip6": ip6, "card": card, "phone": phone, "ssn": free, "key": access, "iban": iban, "secret": secret}.items():
+        out = F.when(F.col("kind") == kind, value).otherwise(out)
+    return out
+
 
-    name = F.when(cyrillic, word("бвгдклмнрст", "аеиоу", ("на", "слав", "ин"))).otherwise(word("bdfgklmnprstv", "aeiou", ("na", "rd", "son")))
+def _worded(kind: Column, old: Column, new: Column) -> Column:
+    """The surrogate `new` of a unit in the form in which `old` has it: blanks, capitals all over, first or by place."""
+    by_place = lambda t: _chars(t, lambda c, i: F.when(old.substr((i + 1).cast("int"), F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
+    loud = (old == F.upper(old)) & (old != F.lower(old)) & (F.length(old) > 1)
+    first = F.concat(F.upper(new.substr(1, 1)), F.substr(new, F.lit(2)))
+    local = F.substring_index(new, "@", 1)
+    email = F.when(loud, F.upper(new)).otherwise(F.concat(by_place(local), F.substr(new, F.length(local) + 1)))
+    grouped = F.regexp_replace(new, "(.{4})(?=.)", "$1 ")
     return (
-        F.when(F.col("kind") == "email", email).when(F.col("kind") == "ip", ip).when(F.col("kind") == "card", card)
-        .when(F.col("kind") == "phone", phone).when(F.col("kind") == "ssn", free).when(F.col("kind") == "secret", secret).otherwise(name)
-    )
+        F.when(kind == "email", email).when(kind == "ip6", by_place(new)).when(kind == "iban", F.when(F.contains(old, F.lit(" ")), grouped).otherwise(new))
+        .when(kind == "secret", F.when(old == F.lower(old), new).when(old == F.upper(old), F.upper(new)).otherwise(by_place(new)))
+        .when(kind.startswith("given") | (kind == "surname"), F.when(loud, F.upper(new)).otherwise(first)).otherwise(new)
+    )
 
 
 def surrogate_units(units: DataFrame, key: str) -> DataFrame:
     """(kind, unit, surrogate) with a different surrogate for each unit of a kind, none of which is a unit of the data.
 
     Collisions are found by grouping surrogates; of those that collide the first unit keeps its own, the others try again.
+    The space of addresses grows a hundredfold an attempt, that of names by a syllable, so a few rounds do. Kinds of fixed
+    length have 1e9 values and more; only where the data hold most of these do the rounds run out, which is an error.
     """
     done, todo = [], written(units.distinct().withColumn("attempt", F.lit(0)), "units")
     real = todo.select(F.col("kind"), F.col("unit").alias("surrogate"), F.lit(True).alias("real"))
@@ -118,15 +190,16 @@ def surrogate_units(units: DataFrame, key: str) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str = "strataframe") -> DataFrame:
     """All columns of `docs` with entities in `text` replaced, and n_entities and entity_kinds.
 
-    The same entity gets the same surrogate everywhere under one key, different ones get different ones; a person's
-    surname is replaced alike with and without the given name. Null text stays null with no entities; texts without
-    entities stay as they are; repeated rows are rewritten alike; the key should be kept secret.
+    The same entity gets the same surrogate everywhere under one key, in capitals or not, different ones get different
+    ones; a person's surname is replaced alike with and without the given name. Null text stays null with no entities;
+    empty texts and texts without entities stay as they are; repeated rows are rewritten alike; an empty table gives an
+    empty table; columns named like the new ones are replaced. The key should be kept secret.
     """
     r1, r2 = row_key(F.lit(0), F.col("text"))
     searched = F.when(F.col("text").rlike(_HINT), F.regexp_extract_all("text", F.lit(_ALL), 0)).otherwise(F.array().cast("array<string>"))
     base = docs.drop("n_entities", "entity_kinds").withColumns({"__e": F.coalesce(searched, F.array().cast("array<string>")), "__r1": r1, "__r2": r2})
     # What is found and no entity stays in __e, which lies between the pieces of the text, and is put back as it is.
-    base = base.withColumn("__f", F.filter("__e", lambda e: ~e.rlike(_CARD_IF_LUHN) | (_luhn(F.regexp_replace(e, "[^0-9]", ""), 1) % 10 == 0)))
+    base = base.withColumn("__f", F.filter("__e", lambda e: ~_false_alarm(e)))
     mentions = base.where("size(__f) > 0").select("__r1", "__r2", F.explode(F.array_distinct("__f")).alias("entity"))
     mentions = written(mentions.distinct(), "mentions")
     entities = mentions.groupBy("entity").agg(F.count("*").alias("texts")).select("entity").withColumn("kind", _kind(F.col("entity")))
@@ -137,9 +210,11 @@ def pseudonymise(docs: DataFrame, key: str = "strataframe") -> DataFrame:
         F.col("kind") == "name",
         F.transform(words, lambda w, i: F.struct(i.alias("i"), F.when(i == F.size(words) - 1, surname).otherwise(F.concat(F.lit("given_"), _gender(F.col("entity")))).alias("kind"), w.alias("unit"))),
     ).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.col("kind").alias("kind"), F.col("entity").alias("unit"))))
-    parts = written(entities.select("entity", F.col("kind").alias("whole"), F.inline(units)), "parts")
-    chosen = surrogate_units(parts.select("kind", "unit"), key)
-    joined = parts.join(chosen, ["kind", "unit"]).groupBy("entity", "whole").agg(F.sort_array(F.collect_list(F.struct("i", "surrogate"))).alias("s"))
+    parts = entities.select("entity", F.col("kind").alias("whole"), F.inline(units).alias("i", "kind", "word"))
+    parts = written(parts.withColumn("unit", _unit(F.col("kind"), F.col("word"))), "parts")
+    chosen = written(surrogate_units(parts.select("kind", "unit"), key), "chosen")
+    worded = parts.join(chosen, ["kind", "unit"]).withColumn("surrogate", _worded(F.col("kind"), F.col("word"), F.col("surrogate")))
+    joined = worded.groupBy("entity", "whole").agg(F.sort_array(F.collect_list(F.struct("i", "surrogate"))).alias("s"))
     text = F.array_join(F.transform("s", lambda x: x["surrogate"]), " ")
     mapping = written(joined.select("entity", "whole", F.when(F.col("whole") == "name", F.concat(title, F.lit(" "), text)).otherwise(text).alias("new")), "mapping")
     by_text = mentions.join(mapping, "entity").groupBy("__r1", "__r2").agg(
@@ -155,5 +230,6 @@ def pseudonymise(docs: DataFrame, key: str = "strataframe") -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pseudonymise() over all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymise(docs).select("doc_id", "n_entities", "entity_kinds", "text")
