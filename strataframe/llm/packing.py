@@ -5,36 +5,36 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, small_batches, table, word_tokenizer_path, written
+from .common import encoder, map_texts, table, word_tokenizer_path, written
 
 CAPACITY, END_ID = 2048, 0
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = "piece int, start long, length long, ids_crc32 long"
 _SLOTS = "length long, first_rank long, n long, per_bin long, first_sequence long, first_offset long"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece of at most `capacity` ids of each document; null text is empty."""
+    """One row for each piece of at most `capacity` ids of each document. Null and empty text are one piece, the end alone;
+    repeated rows give their pieces again, a null doc_id stays null, an empty table gives an empty table."""
 
-    def cut(batches):
+    def cut():
         enc = encoder(tokenizer)
-        for pdf in batches:
+
+        def of(texts):
             rows = []
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            for doc, ids in zip(pdf["doc_id"].array, enc.encode(texts)):
+            for i, ids in enumerate(enc.encode([t if isinstance(t, str) else "" for t in texts])):
                 ids += END_ID.to_bytes(4, "little")
-                doc = None if pd.isna(doc) else int(doc)
                 for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
-                    rows.append((doc, k, at, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+                    rows.append((i, k, at, len(part) // 4, zlib.crc32(part)))
+            columns = [list(c) for c in zip(*rows)] or [[]] * 5
+            return columns[0], columns[1:]
+
+        return of
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(cut, _PIECES)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, _PIECES)
 
 
 def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -85,7 +85,9 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int | No
     """Add `sequence_id` and `offset` to rows with `doc_id`, `piece` and `length` (1 to `capacity`).
 
     Ranks within a length are counted in `buckets` parts by hash and then offset, so no length, however common,
-    meets in one task. Repeated rows get slots of their own. An empty table gives an empty table.
+    meets in one task. The plan has a few rows for each of at most `capacity` lengths, so it is sent to all executors; the
+    counts of parts are dealt as the ranked rows are already. Repeated rows get slots of their own, ties of equal rows go
+    either way. An empty table gives an empty table.
     """
     spark = pieces.sparkSession
     parts = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -105,7 +107,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int | No
     )
     j = F.col("__rank") - F.col("first_rank")
     return (
-        ranked.join(plan, ["length"])
+        ranked.join(F.broadcast(plan), ["length"])
         .where((j >= 0) & (j < F.col("n")))
         .withColumn("sequence_id", F.col("first_sequence") + F.floor(j / F.col("per_bin")).cast("long"))
         .withColumn("offset", F.col("first_offset") + (j % F.col("per_bin")) * F.col("length"))
@@ -119,4 +121,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_documents() of all documents."""
     return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer_path())
