@@ -1,27 +1,43 @@
-"""Operator 5, edit-aware token counts with a tree of segments for each document."""
+"""Operator 5, edit-aware token counts: a tree of segments for each document is kept in a table and taken up again."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import BLANKS, WordEncoder, ascii_words, encoder, small_batches, table, word_tokenizer_path
+from .common import BLANKS, WordEncoder, ascii_words, encoder, map_texts, table, word_tokenizer_path, written
 
 SEGMENT_CHARS = 256
-_COUNTS = "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_segments long, n_reencoded long"
+_TREE = "segments array<string>, chars array<int>, tokens array<int>"
 
 
 class SegmentTree:
     """Segments of a text that end at blanks, with a binary tree of their lengths and token counts.
 
     The tokenizer never joins text across a blank, so counts of segments add up. An edit re-encodes the segments
-    it touches and the neighbour that it may run into (its boundary context), then updates the sums above.
+    it touches and the neighbour that it may run into (its boundary context), then updates the sums above. Node 1 is the
+    root, node i has 2i and 2i + 1 below it, and the leaves are the last half.
     """
 
+    @staticmethod
+    def load(parts: list[str], chars: list[int], tokens: list[int], enc: WordEncoder) -> "SegmentTree":
+        """A kept tree; nothing is encoded."""
+        tree = SegmentTree.__new__(SegmentTree)
+        tree.enc, tree.encoded, tree.n = enc, 0, len(chars) // 2
+        tree.parts, tree.chars, tree.tokens = parts + [""] * (tree.n - len(parts)), list(chars), list(tokens)
+        tree.built = sum(map(bool, parts))
+        return tree
+
+    def kept(self) -> tuple[list[str], list[int], list[int]]:
+        """What load() takes: the segments and the nodes' lengths and counts."""
+        last = max((i for i, p in enumerate(self.parts) if p), default=0)
+        return self.parts[: last + 1], self.chars, self.tokens
+
     def __init__(self, text: str, enc: WordEncoder, segment_chars: int = SEGMENT_CHARS):
-        self.enc, self.size, self.encoded = enc, segment_chars, 0
+        self.enc, self.encoded = enc, 0
         parts, at = [], 0
         while at < len(text):
             end = min(len(text), at + segment_chars)
@@ -104,36 +120,87 @@ def standard_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def apply_edits(text: str, edits) -> str:
-    for start, end, new in sorted(edits, reverse=True):
+    for start, end, new in apart(edits, len(text)):
         text = text[:start] + new + text[end:]
     return text
 
 
-def edited_counts(docs: DataFrame, tokenizer: str, edits=standard_edits, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
-    """Tokens of each whole text before and after `edits(text)`, and how many segments the edits re-encoded.
+def apart(edits, length: int) -> list[tuple[int, int, str]]:
+    """The edits from the last to the first, inside the text; one that reaches into the next ends where that starts. Null
+    bounds and texts count as the start and as nothing."""
+    out, limit = [], length
+    for start, end, new in sorted(((s or 0, e or 0, t or "") for s, e, t in edits), reverse=True):
+        start = max(0, min(start, limit))
+        end = max(start, min(end, limit))
+        out.append((start, end, new))
+        limit = start
+    return out
+
+
+def segment_trees(docs: DataFrame, tokenizer: str, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
+    """One row for each row of `docs`: doc_id and its tree, to be written and taken up by edit_trees().
 
-    `edits` gives (start, end, new text) by character, apart from each other. Null text is empty: no tokens
-    before, and the edits of the empty text after. Rows stay apart, repeated or not.
+    segments are the pieces of the text, chars and tokens the lengths and counts of all nodes, tokens[1] the whole count. Null
+    and empty texts are one empty segment. Rows stay apart, repeated or not; an empty table gives an empty table.
     """
 
-    def count(batches):
+    def build():
+        enc = encoder(tokenizer)
+
+        def of(texts):
+            texts = [t if isinstance(t, str) else "" for t in texts]
+            enc.learn([ascii_words(t) for t in texts])
+            kept = [SegmentTree(t, enc, segment_chars).kept() for t in texts]
+            return [list(c) for c in zip(*kept)] or [[]] * 3
+
+        return of
+
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), build, _TREE)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame | Callable[[str], list], tokenizer: str) -> DataFrame:
+    """`trees` after edits, with n_tokens and n_tokens_after (counts before and after), n_edits, n_segments (before) and
+    n_reencoded: only segments that an edit touches and their neighbours are encoded again.
+
+    `edits` is a table (doc_id, start, end, text), by character of the text before, or a function from a text to such
+    triples. Rows of `trees` that share a doc_id all take its edits; a null doc_id takes none from a table. Overlapping edits
+    are told apart by apart(); trees without edits stay as they are. Chained calls go on from the trees that they return.
+    """
+    out = f"{_TREE}, n_tokens long, n_edits long, n_tokens_after long, n_segments long, n_reencoded long"
+    names = [f.strip().split()[0] for f in out.split(",")]
+    given = edits if callable(edits) else None
+    if given is None:
+        listed = edits.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text")).alias("__edits"))
+        trees = trees.select("doc_id", "segments", "chars", "tokens").join(listed.hint("merge"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    # One struct takes the place of the text.
+    rows = trees.select("doc_id", F.struct(*[c for c in trees.columns if c != "doc_id"]).alias("text"))
+
+    def change():
         enc = encoder(tokenizer)
-        for pdf in batches:
-            rows = []
-            enc.learn([ascii_words(t) for t in pdf["text"] if isinstance(t, str)])
-            for doc, text in zip(pdf["doc_id"].array, pdf["text"]):
-                text = text if isinstance(text, str) else ""
-                tree = SegmentTree(text, enc, segment_chars)
-                before, todo = tree.count, edits(text)
-                for start, end, new in reversed(todo):
+
+        def of(kept):
+            done = []
+            for t in kept:
+                tree = SegmentTree.load(t["segments"], t["chars"], t["tokens"], enc)
+                before = tree.count
+                todo = given("".join(t["segments"])) if given else [(e["start"], e["end"], e["text"]) for e in t["__edits"] or []]
+                for start, end, new in apart(todo, tree.chars[1]):
                     tree.replace(start, end, new)
-                rows.append((None if pd.isna(doc) else int(doc), before, len(todo), tree.count, tree.built, tree.encoded))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in _COUNTS.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
+                done.append((*tree.kept(), before, len(todo), tree.count, tree.built, tree.encoded))
+            return [list(c) for c in zip(*done)] or [[]] * len(names)
+
+        return of
+
+    return map_texts(rows, change, out)
+
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(count, _COUNTS)
+def edited_counts(docs: DataFrame, tokenizer: str, edits: DataFrame | Callable[[str], list] | None = None, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
+    """Tokens of each whole text before and after its edits (by default standard_edits()), from trees that are built once,
+    kept in a table and taken up for the edits. Null text is empty; its edits are those of the empty text."""
+    trees = written(segment_trees(docs, tokenizer, segment_chars), "trees")
+    return edit_trees(trees, standard_edits if edits is None else edits, tokenizer).select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_segments", "n_reencoded")
 
 
 def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edited_counts() of all documents under standard_edits()."""
     return edited_counts(table(spark, sf_dir, "documents"), word_tokenizer_path())
