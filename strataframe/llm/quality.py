@@ -6,17 +6,17 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, forget_words, small_batches, table
+from .common import ascii_words, forget_words, map_texts, table
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 _NOTICE = re.compile(r"licen[sc]e|copyright|rights reserved|cookie|privacy|terms of", re.I)
 _CAPS, _DIGITS, _LETTERS = re.compile("[A-Z\xc0-\xde]"), re.compile("[0-9]"), re.compile(r"[^\W\d_]")
-#: Documents at most that the field is fitted on, and the share of characters in content lines that a kept document needs.
-SAMPLE, KEEP_SHARE = 3000, 0.5
+#: Documents of each quality and lines of a document at most that the field is fitted on (48 bytes a line come to the driver:
+#: 74 MB at most); the share of characters in content lines that a kept document needs.
+SAMPLE, SAMPLE_LINES, KEEP_SHARE = 3000, 256, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 N_FEATURES = 12
 
@@ -141,6 +141,7 @@ class LineField:
 
 def train_line_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField | None:
     """Fit on at most `sample` labelled documents of each quality, chosen by hash of doc_id; None if a quality is missing.
+    Documents of more than `SAMPLE_LINES` lines are judged like all, but not learned from.
 
     Labels are of documents. All lines of a good one start as content, all of a bad one as boilerplate; after a first
     fit the lines of bad ones take their decoded labels (but the least likely line stays boilerplate), and it is fitted
@@ -150,17 +151,13 @@ def train_line_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     chosen = known.where("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = chosen.unionByName(known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
-    def features(batches):
-        for pdf in batches:
-            rows = [line_features(t.split("\n"))[0] for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "f": [r.astype("<f4").tobytes() for r in rows]})
-
-    small_batches(docs.sparkSession)
-    rows = (
-        docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", "quality").mapInPandas(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, f binary")
-        .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("f").alias("f")).collect()  # one row for each chosen doc_id
-    )
+    def features():
+        forget_words()
+        return lambda texts: [[line_features(t.split("\n"))[0].astype("<f4").tobytes() for t in texts]]
+
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").where(F.size(F.split("text", "\n", SAMPLE_LINES + 1)) <= SAMPLE_LINES)
+    rows = map_texts(found.select("doc_id", "quality", "text"), features, "f binary").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("f").alias("f"))
+    rows = rows.collect()  # one row for each chosen doc_id
     rows = sorted((int(r["quality"]), bytes(r["f"])) for r in rows)
     data = [(q, np.frombuffer(f, "<f4").reshape(-1, N_FEATURES)) for q, f in rows]
     if len({q for q, _ in data}) < 2:
@@ -186,11 +183,12 @@ def quality_rules(docs: DataFrame, field: LineField | None, keep_share: float =
     Rows stay apart, repeated or not; an empty table gives an empty table.
     """
 
-    def judge(batches):
+    def judge():
         forget_words()
-        for pdf in batches:
+
+        def of(texts):
             rows = []
-            for text in pdf["__text"]:
+            for text in texts:
                 lines, n = base_counts(text if isinstance(text, str) else "")
                 failed = n["n_words"] < MIN_WORDS or 100 * n["n_repeat_words"] > MAX_REPEAT_PERCENT * n["n_words"]
                 share = 0.0
@@ -198,15 +196,41 @@ def quality_rules(docs: DataFrame, field: LineField | None, keep_share: float =
                     feats, weight = line_features(lines)
                     share = 1.0 if field is None else float((weight * field.viterbi(feats)).sum() / weight.sum())
                 rows.append((*n.values(), failed, share, not failed and share >= keep_share))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")], index=pdf.index)
-            yield pd.concat([pdf.drop(columns="__text"), out], axis=1)
+            return [list(c) for c in zip(*rows)] or [[]] * len(_OUT.split(","))
 
-    small_batches(docs.sparkSession)
-    kept = docs.select(*columns, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text")
-    return kept.mapInPandas(judge, f"{schema}, {_OUT}")
+        return of
+
+    # Renamed on the way, so that a column named text or like a new one cannot clash.
+    carried = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)], "text")
+    out = map_texts(carried, judge, _OUT)
+    return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(columns)], *[c for c in out.columns if not c.startswith("__")])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality_rules() of all documents, with a field learned from the labels. BASE_SQL holds its base columns."""
     docs = table(spark, sf_dir, "documents")
     return quality_rules(docs, train_line_field(docs, table(spark, sf_dir, "labels")))
+
+
+#: The base columns, by themselves. A word counts as repeated if one of the up to five windows that it is in is found twice.
+BASE_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS t, doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+  SELECT t, p, list_aggregate(w[p : p + 4], 'string_agg', ' ') AS g FROM (SELECT t, w, unnest(generate_series(1, len(w) - 4)) AS p FROM t)
+), again AS (
+  SELECT t, p FROM (SELECT t, p, count(*) OVER (PARTITION BY t, g) AS n FROM windows) WHERE n > 1
+), repeated AS (
+  SELECT t, count(DISTINCT p + k) AS n FROM again, generate_series(0, 4) AS x(k) GROUP BY t
+), lined AS (
+  SELECT t, line FROM (SELECT t, unnest(lines) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), doubled AS (
+  SELECT t, count(*) - count(DISTINCT line) AS n FROM lined GROUP BY t
+), counted AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN doubled d USING (t) LEFT JOIN repeated r USING (t)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted
+"""
