@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import map_texts, row_key, table
 
-#: Hash buckets of character 1- to 3-grams; documents at most that each language is learned from.
-BUCKETS, SAMPLE = 1 << 12, 500
+#: Hash buckets of character 1- to 3-grams; documents at most that each language is learned from, and languages at most that
+#: are learned, the most common first. Of a document 6 bytes a bucket that it uses come to the driver, 24 kB at most.
+BUCKETS, SAMPLE, LANGUAGES = 1 << 12, 500, 100
 #: Families of closely related languages; a language that is not listed is a family of its own.
 FAMILIES = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "da": "germanic", "sv": "germanic", "no": "germanic",
@@ -82,14 +81,14 @@ class LanguageTree:
         return lang, p * q
 
     @staticmethod
-    def fit(texts: list[str], langs: list[str], families: dict[str, str] | None = None) -> "LanguageTree":
-        got = [(v, lang) for t, lang in zip(texts, langs) if (v := text_vector(t)) is not None]
+    def fit(x: np.ndarray, langs: list[str], families: dict[str, str] | None = None) -> "LanguageTree":
+        """From text vectors, one a row, and their languages."""
         families = FAMILIES if families is None else families
         groups: dict[str, list[str]] = {}
-        for lang in sorted({lang for _, lang in got}):
+        for lang in sorted(set(langs)):
             groups.setdefault(families.get(lang, f"={lang}"), []).append(lang)
-        x, lang = np.array([v for v, _ in got]), np.array([lang for _, lang in got])
-        group = np.array([families.get(n, f"={n}") for n in lang])
+        lang = np.array(langs)
+        group = np.array([families.get(n, f"={n}") for n in langs])
 
         def machines(names, of):
             out = []
@@ -102,30 +101,52 @@ class LanguageTree:
 
 
 def train_language_tree(docs: DataFrame, sample: int = SAMPLE, families: dict[str, str] | None = None) -> LanguageTree:
-    """Learn from text and lang of at most `sample` rows of each language, chosen by hash; rows without either are left out."""
-    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").withColumn("__t", F.xxhash64("text"))
-    langs = sorted(r[0] for r in rows.groupBy("lang").count().collect())
-    # Chosen by keys alone, so that no task sends texts that are not in the sample.
-    keys = [rows.where(F.col("lang") == x).select("lang", "doc_id", "__t").orderBy(F.xxhash64("doc_id"), "doc_id", "__t").limit(sample) for x in langs]
-    if not keys:
-        return LanguageTree({}, [], [])
-    chosen = F.broadcast(reduce(DataFrame.unionByName, keys).distinct())  # at most `sample` rows a language
-    found = rows.join(chosen.withColumnRenamed("doc_id", "__id"), ["lang", "__t"]).where(F.col("doc_id").eqNullSafe(F.col("__id")))
-    got = found.groupBy("lang", "doc_id", "__t").agg(F.min("text").alias("text")).select("text", "lang").collect()  # repeated rows count once
-    got = sorted(got, key=lambda r: (r["lang"], r["text"]))
-    return LanguageTree.fit([r["text"] for r in got], [r["lang"] for r in got], families)
+    """Learn from text and lang of at most `sample` rows of each of at most `LANGUAGES` languages, chosen by hash.
+
+    Rows without text, lang or a letter are left out, repeated rows count once, ties of the hash go by the row's content.
+    Tasks make the vectors; no text comes to the driver. Without rows the tree knows no language.
+    """
+    r1, r2 = row_key(F.col("doc_id"), F.col("text"))
+    rows = docs.where("text is not null and lang is not null").select("lang", F.xxhash64("doc_id").alias("__h"), r1.alias("__r1"), r2.alias("__r2"), "text")
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    keys = rows.drop("text").join(F.broadcast(common), "lang").groupBy("lang", "__h", "__r1", "__r2").count()
+    # Spark keeps `sample` keys a language and task before it shuffles them.
+    keys = keys.withColumn("__n", F.row_number().over(Window.partitionBy("lang").orderBy("__h", "__r1", "__r2"))).where(F.col("__n") <= sample)
+    chosen = F.broadcast(keys.select("lang", "__r1", "__r2"))  # at most `sample` rows a language
+
+    def features():
+        def of(texts):
+            out = []
+            for text in texts:
+                v = text_vector(text)
+                at = np.flatnonzero(v) if v is not None else np.zeros(0, int)
+                out.append(at.astype("<u2").tobytes() + (v[at].astype("<f4").tobytes() if len(at) else b""))
+            return [out]
+
+        return of
+
+    found = rows.join(chosen, ["lang", "__r1", "__r2"]).select("lang", "__r1", "__r2", "text")
+    got = map_texts(found, features, "f binary").groupBy("lang", "__r1", "__r2").agg(F.min("f").alias("f")).where("length(f) > 0").collect()
+    got = sorted((r["lang"], bytes(r["f"])) for r in got)
+    x = np.zeros((len(got), BUCKETS))
+    for row, (_, f) in zip(x, got):
+        n = len(f) // 6
+        row[np.frombuffer(f[: 2 * n], "<u2")] = np.frombuffer(f[2 * n :], "<f4")
+    return LanguageTree.fit(x, [lang for lang, _ in got], families)
 
 
 def identify_languages(docs: DataFrame, tree: LanguageTree) -> DataFrame:
-    """doc_id, lang_pred and score of each whole text. Null texts and texts without a letter: `und`, 0. Rows stay apart."""
+    """doc_id, lang_pred and score of each whole text. Null texts and texts without a letter, and all texts where the tree has
+    learned nothing: `und`, 0. Rows stay apart, ties of votes and margins go by name; an empty table gives an empty table."""
+
+    def predict():
+        def of(texts):
+            got = [tree.predict(t) for t in texts]
+            return [[g[0] for g in got], [g[1] for g in got]]
 
-    def predict(batches):
-        for pdf in batches:
-            got = [tree.predict(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
+        return of
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(predict, "doc_id long, lang_pred string, score double")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), predict, "lang_pred string, score double")
 
 
 def fold(parts: int):
@@ -134,6 +155,7 @@ def fold(parts: int):
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify_languages() of all documents, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     tree = train_language_tree(docs.where(fold(3) != 1))
     return identify_languages(docs, tree).withColumn("held_out", F.coalesce(fold(3) == 1, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
