@@ -20,11 +20,11 @@ from strataframe.llm.jaccard_join import SQL as JACCARD_SQL
 from strataframe.llm.language_id import identify_languages, train_language_tree
 from strataframe.llm.line_dedup import line_dedup
 from strataframe.llm.packing import best_fit_pack, pack_documents, plan_slots, token_pieces
-from strataframe.llm.quality import LineField, base_counts, quality_rules, repeated_words, train_line_field
+from strataframe.llm.quality import BASE_SQL, LineField, base_counts, quality_rules, repeated_words, train_line_field
 from strataframe.llm.substring_dedup import chunk_ends, cut_spans, repeated_spans
 from strataframe.llm.surrogates import pseudonymise, surrogate_units
-from strataframe.llm.token_counts import SegmentTree, apply_edits, edited_counts, standard_edits
-from strataframe.llm.toxicity import ConvNet, score_toxicity, train_toxicity, word_parts
+from strataframe.llm.token_counts import SegmentTree, apply_edits, edit_trees, edited_counts, segment_trees, standard_edits
+from strataframe.llm.toxicity import ConvNet, read_features, score_toxicity, threshold, train_toxicity, word_features, word_parts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(5)
@@ -117,6 +117,8 @@ def test_packing(spark, odd):
 def test_packing_one_length_in_many_parts(spark):
     rows = spark.createDataFrame([(i // 2, 0, 7, 1) for i in range(3000)], "doc_id long, piece int, length long, ids_crc32 long")
     out = best_fit_pack(rows, 20, 37).collect()
+    plan = best_fit_pack(rows, 20, 37)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(SortMergeJoin|ShuffledHashJoin) \[length#\d+L\]", plan) and "BroadcastHashJoin [length" in plan  # no length meets in one task
     assert len({(r["sequence_id"], r["offset"]) for r in out}) == 3000 and len({r["sequence_id"] for r in out}) == 1500
 
 
@@ -139,8 +141,9 @@ def test_word_encoder(text):
 def test_token_counts(spark, odd):
     tok = common._tokenizer(common.word_tokenizer_path())
     count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
-    for r in edited_counts(odd, common.word_tokenizer_path()).collect():
-        assert r["n_reencoded"] <= 3 * r["n_edits"]
+    want = sorted((str(r["doc_id"]), count(t := r["text"] or ""), count(apply_edits(t, standard_edits(t)))) for r in odd.collect())
+    got = edited_counts(odd, common.word_tokenizer_path()).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_tokens_after"]) for r in got) == want and all(r["n_reencoded"] <= 3 * r["n_edits"] for r in got)
     enc, r = common.WordEncoder(common.word_tokenizer_path()), random.Random(2)
     for _ in range(30):
         text = "".join(r.choice("ab  \n1!é") for _ in range(r.randint(0, 200)))
@@ -158,6 +161,25 @@ def test_token_counts(spark, odd):
     assert edited_counts(empty(spark), common.word_tokenizer_path()).count() == 0
 
 
+def test_kept_trees_take_edits_again_and_again(spark):
+    """Tables of random edits, three in a row, on trees from a table: every count is that of the whole text anew."""
+    path, r = common.word_tokenizer_path(), random.Random(12)
+    count = lambda t: len(common._tokenizer(path).encode(t, add_special_tokens=False).ids)
+    text = {i: "\n".join(prose(r.randint(0, 30), 100 * i + k) + " 12345" for k in range(r.randint(0, 12))) for i in range(40)} | {90: "", 91: "x" * 3000}
+    trees = common.written(segment_trees(docs(spark, [*text.items(), (None, "one two")]), path, 64), "trees")
+    assert trees.count() == len(text) + 1
+    for turn in range(3):
+        edits = [(i, a := r.randint(0, len(t) + 3), a + r.choice([0, 0, 2, 9, 200]), r.choice(["", " ", "new word", "7", None])) for i, t in text.items() if i % 3 != turn for _ in range(r.randint(0, 5))]
+        for i in text:
+            text[i] = apply_edits(text[i], [e[1:] for e in edits if e[0] == i])
+        got = edit_trees(trees, spark.createDataFrame([*edits, (None, 0, 1, "z"), (777, 0, 1, "z")], "doc_id long, start long, end long, text string"), path)
+        trees = common.written(got, "trees")
+        rows = {x["doc_id"]: x for x in trees.collect()}
+        assert {i: x["n_tokens_after"] for i, x in rows.items()} == {**{i: count(t) for i, t in text.items()}, None: 2}
+        assert all("".join(rows[i]["segments"]) == t for i, t in text.items()) and all(x["n_edits"] or not x["n_reencoded"] for x in rows.values())
+        assert sum(x["n_reencoded"] for x in rows.values()) < sum(x["n_segments"] for x in rows.values())
+
+
 def brute_base(text):
     words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
@@ -223,10 +245,45 @@ def test_toxicity(spark, odd):
 def test_toxicity_trains_on_words_whose_parts_share_a_bucket():
     word = "agbjgxyz"
     assert len(set(word_parts(word))) < len(word_parts(word))
-    net = ConvNet.fit([prose(30, i) + (f" {word}" if i % 2 else "") for i in range(60)], [i % 2 for i in range(60)])
+    net = ConvNet.fit([[word_parts(w) for w in (prose(30, i) + (f" {word}" if i % 2 else "")).split()] for i in range(60)], [i % 2 for i in range(60)])
     assert np.isfinite(net.table).all()
 
 
+def test_word_features_and_thresholds():
+    text = "Some words, some SOME more -- words. " + prose(80, 3) + " " + word_of(300)
+    assert read_features(word_features(text)) == [word_parts(w) for w in text.split()] and read_features(word_features(None)) == []
+    r = np.random.default_rng(2)
+    toxic = np.repeat([1, 0], 50)
+    low = np.where(toxic == 1, r.uniform(0.2, 0.4, 100), r.uniform(0.0, 0.1, 100))
+    assert 0.1 < threshold(low, toxic) < 0.2 and threshold(low[40:], toxic[40:]) == 0.5 and threshold(low + 0.45 * (toxic == 1), toxic) == 0.5
+
+
+def word_of(n):
+    return "z" * n
+
+
+def test_very_long_texts(spark):
+    """20 MB of one text and a text of 200,000 lines, through training and judging; training leaves them out."""
+    long, lines = (prose(500, 1) + " ") * (20_000_000 // len(prose(500, 1))), "a line of words here\n" * 200_000
+    rows = [(1000, long), (1001, lines)] + [(i, prose(40, i) + (" vilebad " if i % 2 else ". ")) for i in range(60)]
+    d = docs(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    tree = train_language_tree(d.where("doc_id < 1000"))
+    assert {r["lang_pred"] for r in identify_languages(d, tree).where("doc_id >= 1000").collect()} == {"en"}
+    field = train_line_field(d, labels)
+    got = {r["doc_id"]: r for r in quality_rules(d, field).where("doc_id >= 1000").collect()}
+    assert got[1001]["n_words"] == 1_000_000 and got[1001]["n_dup_lines"] == 199_999 and got[1001]["base_failed"] and got[1000]["n_words"] > 1e6
+    net, limits = train_toxicity(d, labels)
+    assert score_toxicity(d, net, limits).where("score between 0 and 1").count() == len(rows)
+
+
+def test_base_columns_by_sql(spark, sf_dir):
+    """The base columns of quality rules against SQL."""
+    rel = duckdb.connect().sql(BASE_SQL.replace("documents", f"'{sf_dir}/documents.parquet'"))
+    got = quality_rules(common.table(spark, sf_dir, "documents"), None).select(*rel.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(rel.fetchall())
+
+
 def test_chunks_resist_shifts():
     text = prose(400, 1).encode()
     a, b = chunk_ends(text), chunk_ends(b"something new here " + text) - 19
