@@ -17,6 +17,7 @@ class Fold:
     kind: str
 
 
+#: The dates, folds, costs, limits and seed that results are compared under.
 @dataclass(frozen=True)
 class BacktestConfig:
     is_start: str = "2010-01-01"

@@ -60,3 +60,20 @@ def trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_no"), F.concat(F.lit("thesis: "), "p_type", F.lit(" size "), F.col("p_size").cast("string")).alias("description"))
+
+
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trial log with figures of each run, all from whole numbers; some are missing."""
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_no"), F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"))
+    part = lambda col, m, d, less: (F.col(col) % m) / F.lit(float(d)) - F.lit(less)
+    figures = o.select(
+        "row_no", F.when(F.col("k") % 11 != 0, part("c", 100, 50, 0.5)).alias("is_fold_median_sharpe"), part("k", 40, 40, 0.2).alias("oos_fold_median_sharpe"), part("k", 30, 30, 0.1).alias("min_fold_sharpe"),
+        part("c", 60, 100, 0.0).alias("max_drawdown"), part("k", 70, 1, 0.0).alias("turnover_annual"), (F.col("c") % 200).alias("num_trades"), F.when(F.col("k") % 7 == 0, part("c", 30, 100, 0.0)).alias("paired_p"),
+    )
+    log = trial_log(spark, sf_dir)
+    return log.join(figures, "row_no").withColumn("oos_sharpe_lo", F.col("oos_sharpe") - 0.3)
+
+
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rate in percent a year on every third date of the market's, and on dates that are none of its."""
+    return _lines(spark, sf_dir).groupBy("date").agg(F.sum("x").alias("x")).where("x % 3 = 0").select(F.when(F.col("x") % 2 == 0, F.col("date")).otherwise(F.date_sub("date", 9000)).alias("date"), (F.col("x") % 500 / F.lit(100.0)).alias("irx"))

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BacktestConfig
+from ..config import BacktestConfig, borrow_bps
+from ..scratch import written
+from .bootstrap import bootstrap_interval
 from .panel import Keys, along, change, clean, densify, membership, pad, rank_average, rolling, so_far
 
 
-def effective_weights(weights: DataFrame, panel: DataFrame, cfg: BacktestConfig, by: Keys = (), additions: DataFrame | None = None, removals: DataFrame | None = None) -> DataFrame:
+def effective_weights(
+    weights: DataFrame, panel: DataFrame, cfg: BacktestConfig, by: Keys = (), panel_by: Keys = (), additions: DataFrame | None = None, removals: DataFrame | None = None
+) -> DataFrame:
     """The dense panel with `target` (held over gaps, 0 outside membership), `w_eff` (one day later), `dw` and `ret1`.
 
-    Order matters: hold, then mask, then lag (X0 steps 6 to 9). Weights on other dates or tickers are dropped first.
+    Order matters: hold, then mask, then lag (X0 steps 6 to 9). Weights on other dates or tickers are dropped first. `by` are
+    keys of the weights; those of them that the panel has too, as null draws do, are `panel_by`. With keys each run has the
+    tickers that it has weights for: the others would be zeros throughout.
     """
-    dense = densify(panel.select("date", "ticker", clean("close").alias("close")))
-    dense = membership(dense, additions, removals).withColumn("c", pad("close") if cfg.pad_returns else F.col("close"))
-    dense = dense.withColumn("ret1", F.coalesce(change("c", 1), F.lit(0.0)))
+    dense = densify(panel.select(*panel_by, "date", "ticker", clean("close").alias("close")), panel_by)
+    dense = membership(dense, additions, removals, panel_by).withColumn("c", pad("close", panel_by) if cfg.pad_returns else F.col("close"))
+    dense = dense.withColumn("ret1", F.coalesce(change("c", 1, panel_by), F.lit(0.0)))
     if cfg.impact_slope_bps > 0:
-        dense = dense.withColumn("__r", change("c", 1)).withColumn("vol63", rolling(F.stddev_samp, "__r", 63)).withColumn("vol_rank", rank_average("vol63")).drop("__r")
-    if by:
-        dense = weights.select(*by).distinct().join(dense)
+        dense = dense.withColumn("__r", change("c", 1, panel_by)).withColumn("vol63", rolling(F.stddev_samp, "__r", 63, panel_by)).withColumn("vol_rank", rank_average("vol63", panel_by)).drop("__r")
+    if list(by) != list(panel_by):
+        dense = weights.select(*by, "ticker").distinct().join(dense, [*panel_by, "ticker"])
     p = dense.join(weights.select(*by, "date", "ticker", clean("w").alias("w")), [*by, "date", "ticker"], "left")
     p = p.withColumn("target", F.when(F.col("active"), F.coalesce(pad("w", by), F.lit(0.0))).otherwise(0.0))
     p = p.withColumn("w_eff", F.coalesce(F.lag("target").over(along(by)), F.lit(0.0)))
@@ -28,20 +36,22 @@ def effective_weights(weights: DataFrame, panel: DataFrame, cfg: BacktestConfig,
 
 
 def daily_returns(effective: DataFrame, cfg: BacktestConfig, by: Keys = ()) -> DataFrame:
-    """One row a date: gross, pnl, turnover, cost, borrow, ret, trades."""
+    """One row a date: gross, pnl, turnover, cost, borrow, ret, trades, and row_hash, which tells different rows of weights
+    apart whatever their order (A1, X1, X1b)."""
     flat = F.lit(cfg.cost_bps / 1e4)
     rate = flat if cfg.impact_slope_bps <= 0 else F.coalesce((F.lit(cfg.cost_bps) + cfg.impact_slope_bps * F.col("vol_rank")) / 1e4, flat)
     day = effective.groupBy(*by, "date").agg(
         F.coalesce(F.sum(F.abs("w_eff")), F.lit(0.0)).alias("gross"), F.coalesce(F.sum(F.col("w_eff") * F.col("ret1")), F.lit(0.0)).alias("pnl"),
         F.coalesce(F.sum("dw"), F.lit(0.0)).alias("turnover"), F.coalesce(F.sum(F.col("dw") * rate), F.lit(0.0)).alias("cost"),
         (F.coalesce(F.sum(F.greatest(-F.col("w_eff"), F.lit(0.0))), F.lit(0.0)) * F.lit(cfg.borrow_bps / 1e4 / cfg.days_per_year)).alias("borrow"),
-        F.count_if(F.col("dw") > cfg.trade_epsilon).alias("trades"),
+        F.count_if(F.col("dw") > cfg.trade_epsilon).alias("trades"), F.bit_xor(F.xxhash64("ticker", F.bround("w_eff", 10))).alias("row_hash"),
     )
     return day.withColumn("ret", F.col("pnl") - F.col("cost") - F.col("borrow"))
 
 
-def strat_returns(weights: DataFrame, panel: DataFrame, cfg: BacktestConfig, by: Keys = (), **schedule) -> DataFrame:
-    return daily_returns(effective_weights(weights, panel, cfg, by, **schedule), cfg, by)
+def strat_returns(weights: DataFrame, panel: DataFrame, cfg: BacktestConfig, by: Keys = (), panel_by: Keys = (), **schedule) -> DataFrame:
+    """Daily returns net of all costs: the one path that backtests, null draws and sweeps share."""
+    return daily_returns(effective_weights(weights, panel, cfg, by, panel_by, **schedule), cfg, by)
 
 
 def sharpe(excess: Column, days: int = 252) -> Column:
@@ -133,28 +143,67 @@ def status_hint(cfg: BacktestConfig) -> Column:
     )
 
 
-def guards(weights: DataFrame, effective: DataFrame, cfg: BacktestConfig, by: Keys = ()) -> DataFrame:
+def null_share(weights: DataFrame, by: Keys = ()) -> DataFrame:
+    """Share of missing cells of the raw weights, over their own dates and tickers."""
+    days = weights.groupBy(*by, "date").agg(F.count(clean("w")).alias("n")).groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("days"))
+    names = weights.select(*by, "ticker").distinct().groupBy(*by).agg(F.count("*").alias("names"))
+    both = days.join(names, list(by)) if by else days.crossJoin(F.broadcast(names))
+    return both.select(*by, (1.0 - F.try_divide(F.col("n").cast("double"), F.col("days") * F.col("names"))).alias("null_share"))
+
+
+def guards(weights: DataFrame, daily: DataFrame, cfg: BacktestConfig, by: Keys = ()) -> DataFrame:
     """Share of missing cells of the raw weights, greatest leverage, different out-of-sample weight rows, and the first
     reason to crash, if any (A17, A18, A19, X1c)."""
-    raw = densify(weights.select(*by, "date", "ticker", clean("w").alias("w")), by).groupBy(*by).agg(F.avg(F.col("w").isNull().cast("double")).alias("null_share"))
-    day = effective.groupBy(*by, "date").agg(F.sum(F.abs("w_eff")).alias("g"), F.xxhash64(F.sort_array(F.collect_list(F.struct("ticker", F.bround("w_eff", 10))))).alias("h"))
-    total = day.groupBy(*by).agg(F.max("g").alias("max_gross"), F.count_distinct(F.when(out_of_sample(cfg), F.col("h"))).alias("oos_rows"))
+    total = daily.groupBy(*by).agg(F.max("gross").alias("max_gross"), F.count_distinct(F.when(out_of_sample(cfg), F.col("row_hash"))).alias("oos_rows"))
+    raw = null_share(weights, by)
     out = raw.join(total, list(by)) if by else raw.crossJoin(total)
-    reason = F.when(F.col("null_share") > cfg.max_null_share, "mostly missing weights").when(F.col("max_gross") > cfg.max_gross, "leverage above the limit").when(F.col("oos_rows") < 2, "frozen weights")
+    reason = F.when(F.col("null_share").isNull() | (F.col("null_share") > cfg.max_null_share), "mostly missing weights").when(F.col("max_gross") > cfg.max_gross, "leverage above the limit").when(F.col("oos_rows") < 2, "frozen weights")
     return out.withColumn("crash_reason", reason)
 
 
-def run_backtest(weights: DataFrame, panel: DataFrame, cfg: BacktestConfig, by: Keys = (), rates: DataFrame | None = None, **schedule) -> DataFrame:
-    """One row of metrics for each strategy, with status_hint and crash_reason (X0b). The effective panel is persisted,
-    because guards and metrics read it; drop it with `unpersist` on the cached plan or end the session."""
-    effective = effective_weights(weights, panel, cfg, by, **schedule).persist()
-    rf = None if rates is None else risk_free(panel, rates, cfg)
-    daily = with_excess(daily_returns(effective, cfg, by), cfg, rf)
+def metrics(daily: DataFrame, cfg: BacktestConfig, by: Keys = ()) -> DataFrame:
+    """All figures of daily returns with `ex`, one row for each run (X0b): the headline, the bootstrap interval, fold medians,
+    ratios by year and by fold as maps, and the out-of-sample series as JSON."""
     folds = fold_sharpes(daily, cfg, by)
-    parts = [headline(daily, cfg, by).drop("max_gross"), fold_medians(folds, by), guards(weights, effective, cfg, by)]
-    parts.append(yearly_sharpes(daily, cfg, by).groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("year", "sharpe")))).alias("yearly_sharpe")))
-    parts.append(folds.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("fold", "sharpe")))).alias("fold_sharpes")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, list(by)) if by else out.crossJoin(F.broadcast(p))
-    return out.withColumn("status_hint", F.when(F.col("crash_reason").isNotNull(), "crash").otherwise(status_hint(cfg)))
+    maps = folds.groupBy(*by).agg(F.collect_list(F.struct("fold", "sharpe", "kind")).alias("__f"))
+    pick = lambda kind, name: F.map_from_entries(F.sort_array(F.transform(F.filter("__f", lambda x: F.lit(kind is None) | (x["kind"] == F.lit(kind or ""))), lambda x: F.struct(x["fold"], x["sharpe"])))).alias(name)
+    maps = maps.select(*by, pick(None, "fold_sharpes"), pick("IS", "is_fold_sharpes"), pick("OOS", "oos_fold_sharpes"))
+    medians = fold_medians(folds, by)
+    medians = medians.withColumnsRenamed({"median": "median_fold_sharpe", "min": "min_fold_sharpe", **{f"{k}_{m}": f"{k}_fold_{m}_sharpe" for k in ("is", "oos") for m in ("median", "min")}})
+    yearly = yearly_sharpes(daily, cfg, by).groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("year", "sharpe")))).alias("yearly_sharpe"))
+    oos = daily.where(out_of_sample(cfg))
+    interval = bootstrap_interval(oos, cfg, by).select(*by, F.col("lo").alias("oos_sharpe_lo"), F.col("hi").alias("oos_sharpe_hi"))
+    series = oos.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("date", F.round("ret", 10).alias("ret")))).alias("r"))
+    text = F.to_json(F.struct(F.lit("ret").alias("name"), F.transform("r", lambda x: x["date"].cast("timestamp")).alias("index"), F.transform("r", lambda x: x["ret"]).alias("data")))
+    out = headline(daily, cfg, by).drop("max_gross")
+    for p in (interval, medians, yearly, maps, series.select(*by, text.alias("oos_daily_returns_json"))):
+        out = out.join(p, list(by), "left") if by else out.crossJoin(F.broadcast(p))
+    return out
+
+
+def crashed(result: DataFrame) -> DataFrame:
+    """The result of a run with a crash_reason: no figures, no trades, empty maps, no series."""
+    out = {}
+    for name, kind in result.dtypes:
+        if name in ("crash_reason", "status_hint", "null_share", "max_gross", "oos_rows"):
+            continue
+        empty = F.lit(0).cast(kind) if name == "num_trades" else F.create_map().cast(kind) if kind.startswith("map") else F.lit("") if name.endswith("_json") else F.lit(None).cast(kind) if kind == "double" else None
+        if empty is not None:
+            out[name] = F.when(F.col("crash_reason").isNotNull(), empty).otherwise(F.col(name))
+    return result.withColumns(out)
+
+
+def run_backtest(
+    weights: DataFrame, panel: DataFrame, cfg: BacktestConfig, by: Keys = (), panel_by: Keys = (), rates: DataFrame | None = None, universe: str | None = None, **schedule
+) -> DataFrame:
+    """One row for each run: metrics(), guards(), status_hint and crash_reason; a crashed run keeps no figures.
+
+    `universe` sets the borrow rate to its tier (J14); None keeps that of `cfg`. The daily returns, a row a date and run,
+    are written to the shared folder once, when this is called, because all figures read them.
+    """
+    cfg = cfg if universe is None else replace(cfg, borrow_bps=borrow_bps(universe))
+    rf = None if rates is None else risk_free(panel, rates, cfg)
+    daily = written(with_excess(strat_returns(weights, panel, cfg, by, panel_by, **schedule), cfg, rf), "daily")
+    out, checks = metrics(daily, cfg, by), guards(weights, daily, cfg, by)
+    out = out.join(checks, list(by)) if by else out.crossJoin(F.broadcast(checks))
+    return crashed(out.withColumn("status_hint", F.when(F.col("crash_reason").isNotNull(), "crash").otherwise(status_hint(cfg))))

@@ -35,11 +35,11 @@ def clean(column: str) -> Column:
 def densify(panel: DataFrame, by: Keys = ()) -> DataFrame:
     """Every ticker on every date (J2): row offsets count calendar days, not a ticker's own rows.
 
-    The universe is one array by key, as small as the list of tickers, beside each date.
+    The universe is one array by key, as small as the list of tickers, beside each date. Without keys it is one row.
     """
     universe = panel.groupBy(*by).agg(F.collect_set("ticker").alias("__tickers"))
     dates = panel.select(*by, "date").distinct()
-    grid = dates.join(F.broadcast(universe), list(by)) if by else dates.crossJoin(F.broadcast(universe))
+    grid = dates.join(universe, list(by)) if by else dates.crossJoin(F.broadcast(universe))
     grid = grid.select(*by, "date", F.explode("__tickers").alias("ticker"))
     return grid.join(panel, [*by, "date", "ticker"], "left")
 
@@ -98,9 +98,9 @@ def period_last(weights: DataFrame, label: Column, visible: Column, value: str =
     return weights.withColumn("__label", visible).drop(value).join(last, [*by, "ticker", "__label"], "left").withColumn(value, F.coalesce("__v", F.lit(0.0))).drop("__label", "__v")
 
 
-def membership(panel: DataFrame, additions: DataFrame | None = None, removals: DataFrame | None = None) -> DataFrame:
+def membership(panel: DataFrame, additions: DataFrame | None = None, removals: DataFrame | None = None, by: Keys = ()) -> DataFrame:
     """Add `active`: on or after the first value, not before any addition, not after any removal."""
-    first = F.min(F.when(F.col("close").isNotNull(), F.col("date"))).over(Window.partitionBy("ticker"))
+    first = F.min(F.when(F.col("close").isNotNull(), F.col("date"))).over(Window.partitionBy(*by, "ticker"))
     out, active = panel.withColumn("__first", first), F.coalesce(F.col("date") >= F.col("__first"), F.lit(False))
     if additions is not None:
         out = out.join(F.broadcast(additions.where("date is not null").groupBy("ticker").agg(F.max("date").alias("__added"))), "ticker", "left")

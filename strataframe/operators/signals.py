@@ -180,6 +180,118 @@ def throttled(weights: DataFrame, limit: float = 0.4, by: Keys = ()) -> DataFram
     return (rows if by else rows.withColumn("__all", F.lit(1))).groupBy(*keys).applyInPandas(hold, schema)
 
 
+def equal_weight(panel: DataFrame, gross: float = 1.0, by: Keys = ()) -> DataFrame:
+    """Every name with a price so far, equally."""
+    p = with_returns(panel, (), by)
+    return sized(p, F.col("c").isNotNull(), F.lit(1.0), gross, by)
+
+
+def vol_momentum(panel: DataFrame, look: int = 252, skip: int = 21, days: int = 63, top: float = 0.1, gross: float = 1.0, by: Keys = ()) -> DataFrame:
+    """Momentum over volatility; the top share, inverse-volatility sized."""
+    p = with_returns(panel, (1,), by).withColumn("vol", rolling(F.stddev_samp, "ret1", days, by))
+    p = p.withColumn("m", F.try_divide(F.try_divide(F.lag("c", skip).over(along(by)), F.lag("c", look).over(along(by))) - 1, F.col("vol"))).withColumn("rank", rank_average("m", by))
+    return sized(p, F.col("rank") > 1 - top, inverse("vol"), gross, by)
+
+
+def beta_neutral_reversal(panel: DataFrame, market: DataFrame, days: int = 21, window: int = 63, share: float = 0.1, gross: float = 0.5, by: Keys = ()) -> DataFrame:
+    """Losers by the return less beta times the market's over the same days."""
+    m = market.withColumn("mlong", F.try_divide("mkt", F.lag("mkt", days).over(Window.orderBy("date"))) - 1).select("date", "mlong")
+    p = beta(panel, market, window, by).withColumn("rlong", F.try_divide("c", F.lag("c", days).over(along(by))) - 1).join(F.broadcast(m), "date", "left")
+    p = p.withColumn("residual", F.col("rlong") - F.col("beta") * F.col("mlong")).withColumn("rank", rank_average("residual", by))
+    return sized(p, F.col("rank") <= share, F.lit(1.0), gross, by)
+
+
+def market_drawdown_gate(market: DataFrame, limit: float = 0.1, days: int = 252) -> DataFrame:
+    """Open while the market is less than `limit` below its high of `days` days; `factor` falls from 1 to 0 on the way there, for
+    scaled() (G7)."""
+    high = F.max("mkt").over(Window.orderBy("date").rowsBetween(1 - days, 0))
+    out = market.withColumn("drawdown", 1 - F.try_divide(F.col("mkt"), high))
+    return out.withColumns({"open": F.coalesce(F.col("drawdown") < limit, F.lit(True)), "factor": F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("drawdown") / limit), F.lit(1.0))})
+
+
+def dispersion_gate(panel: DataFrame, days: int = 21, window: int = 252) -> DataFrame:
+    """Open while the spread of returns between names is at or above its mean of `window` days."""
+    d = with_returns(panel, (days,)).groupBy("date").agg(F.stddev_samp(f"ret{days}").alias("spread"))
+    w = Window.orderBy("date").rowsBetween(1 - window, 0)
+    return d.withColumn("open", F.coalesce(F.col("spread") >= F.avg("spread").over(w), F.lit(True)))
+
+
+def scaled(weights: DataFrame, factor: DataFrame) -> DataFrame:
+    """Weights times the date's `factor`; dates without one stay as they are."""
+    return weights.join(F.broadcast(factor.select("date", "factor")), "date", "left").withColumn("w", F.col("w") * F.coalesce("factor", F.lit(1.0))).drop("factor")
+
+
+def adv_sized(panel: DataFrame, days: int = 20, power: float = -1.0, gross: float = 1.0, by: Keys = ()) -> DataFrame:
+    """All names sized by a power of their mean dollar volume: -1 for its inverse, 0.5 for its root."""
+    p = densify(panel, by).withColumn("dv", F.col("close") * F.col("volume")).withColumn("adv", rolling(F.avg, "dv", days, by, least=1))
+    return sized(p, F.col("adv") > 0, F.pow("adv", F.lit(power)), gross, by)
+
+
+def volume_surge(panel: DataFrame, short: int = 5, long: int = 63, top: float = 0.1, gross: float = 1.0, by: Keys = ()) -> DataFrame:
+    """Names whose volume of late is highest against its longer mean."""
+    p = densify(panel, by).withColumns({"near": rolling(F.avg, "volume", short, by, least=1), "far": rolling(F.avg, "volume", long, by, least=1)})
+    p = p.withColumn("surge", F.try_divide("near", "far")).withColumn("rank", rank_average("surge", by))
+    return sized(p, F.col("rank") > 1 - top, F.lit(1.0), gross, by)
+
+
+def median_rank(panel: DataFrame, share: float = 0.1, gross: float = 0.5, by: Keys = ()) -> DataFrame:
+    """Losers by the median of three return ranks."""
+    p = with_returns(panel, (5, 21, 63), by)
+    p = p.withColumns({f"r{n}": rank_average(f"ret{n}", by) for n in (5, 21, 63)})
+    three = [F.col(f"r{n}") for n in (5, 21, 63)]
+    middle = three[0] + three[1] + three[2] - F.greatest(*three) - F.least(*three)
+    p = p.withColumn("middle", middle).withColumn("rank", rank_average("middle", by))
+    return sized(p, F.col("rank") <= share, F.lit(1.0), gross, by)
+
+
+def z_reversal(panel: DataFrame, days: int = 21, limit: float = 1.0, gross: float = 0.5, by: Keys = ()) -> DataFrame:
+    """Names more than `limit` deviations below the date's mean return, sized by how far."""
+    p = with_returns(panel, (days,), by).withColumn("z", zscore(f"ret{days}", by))
+    return sized(p, F.col("z") < -limit, -F.col("z"), gross, by)
+
+
+def golden_cross(panel: DataFrame, short: int = 50, long: int = 200, gross: float = 1.0, by: Keys = ()) -> DataFrame:
+    """Names whose short mean is above the long one, equally sized."""
+    p = with_returns(panel, (), by).withColumns({"near": rolling(F.avg, "c", short, by), "far": rolling(F.avg, "c", long, by)})
+    return sized(p, F.col("near") > F.col("far"), F.lit(1.0), gross, by)
+
+
+def dual_momentum(panel: DataFrame, days: int = 126, top: float = 0.2, gross: float = 1.0, by: Keys = ()) -> DataFrame:
+    """The top share by return of those that rose at all."""
+    p = with_returns(panel, (days,), by).withColumn("rank", rank_average(f"ret{days}", by))
+    return sized(p, (F.col("rank") > 1 - top) & (F.col(f"ret{days}") > 0), F.lit(1.0), gross, by)
+
+
+def days_since_low(panel: DataFrame, days: int = 252, by: Keys = ()) -> DataFrame:
+    """Calendar rows since the last low of the window."""
+    p = with_returns(panel, (), by).withColumn("__n", F.row_number().over(along(by)))
+    w = along(by).rowsBetween(1 - days, 0)
+    at = F.max_by("__n", F.when(F.col("c").isNotNull(), F.struct((-F.col("c")).alias("c"), "__n"))).over(w)
+    return p.withColumn("since_low", F.col("__n") - at).drop("__n")
+
+
+def vol_target(weights: DataFrame, daily: DataFrame, target: float = 0.06, days: int = 63, most: float = 2.0, days_per_year: int = 252) -> DataFrame:
+    """Weights scaled so that the run's volatility of the last `days` days would have met the target (G15). `daily` are the
+    returns of the unscaled weights: two passes."""
+    vol = F.stddev_samp("ret").over(Window.orderBy("date").rowsBetween(1 - days, 0)) * F.sqrt(F.lit(float(days_per_year)))
+    full = F.count("ret").over(Window.orderBy("date").rowsBetween(1 - days, 0)) >= days
+    factor = daily.select("date", F.when(full, F.least(F.lit(most), F.coalesce(F.try_divide(F.lit(target), vol), F.lit(1.0)))).alias("factor"))
+    return scaled(weights, factor)
+
+
+def rebalanced(weights: DataFrame, cadence: str, by: Keys = ()) -> DataFrame:
+    """Targets held from the end of each period (G16): `friday`, `wednesday`, `month`, `quarter`; `daily` changes nothing."""
+    day = F.col("date")
+    if cadence == "daily":
+        return weights
+    if cadence == "friday":
+        return weekly_last(weights, by=by)
+    if cadence == "wednesday":
+        return period_last(weights, F.next_day(F.date_sub(day, 1), "WED"), F.date_sub(F.next_day(day, "WED"), 7), by=by)
+    start = F.trunc(day, cadence)
+    return period_last(weights, start, F.add_months(start, {"month": -1, "quarter": -3}[cadence]), by=by)
+
+
 SIGNALS: dict[str, Callable[..., DataFrame]] = {
-    f.__name__: f for f in (quad_reversal, bottom_k_reversal, oracle_sign, momentum, low_volatility, long_short, residual_reversal, soft_tilt, liquid)
+    f.__name__: f for f in (quad_reversal, bottom_k_reversal, oracle_sign, momentum, low_volatility, long_short, residual_reversal, soft_tilt, liquid, equal_weight, vol_momentum, adv_sized, volume_surge, median_rank, z_reversal, golden_cross, dual_momentum)
 }

@@ -1,43 +1,19 @@
-"""Bootstrap, null shuffles and parameter sweeps as extra keys of one plan. Random numbers are hashes of (seed, draw, place),
-so they need no stream and come out alike on any cluster."""
+"""Null shuffles and parameter sweeps as extra keys of one plan; random numbers as in the bootstrap."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BacktestConfig
 from .backtest import out_of_sample, sharpe, strat_returns, with_excess
-from .panel import Keys, change, clean, densify, pad
+from .bootstrap import bootstrap_draws, bootstrap_interval, each_draw, hash_uniform
+from .panel import change, clean, densify, pad
 
-
-def hash_uniform(seed: int, *parts: Column) -> Column:
-    """In [0, 1), from the first 8 hex digits of an md5."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
-
-
-def bootstrap_draws(returns: DataFrame, cfg: BacktestConfig, by: Keys = ()) -> DataFrame:
-    """Sharpe ratio of each stationary-bootstrap draw of (date, ex) (X2, W15): a path restarts with probability 1 / block
-    and else steps on; restarts are gaps, steps are islands, so a path is one window."""
-    w = Window.partitionBy(*by).orderBy("date")
-    rows = returns.where(F.col("ex").isNotNull()).withColumn("pos", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    rows = rows.where(F.col("n") >= cfg.bootstrap_min_days).select(*by, "pos", "n", "ex")
-    path = rows.select(*by, "pos", "n", F.explode(F.sequence(F.lit(0), F.lit(cfg.bootstrap_draws - 1))).alias("k"))
-    start = (F.col("pos") == 0) | (hash_uniform(cfg.seed, F.lit("jump"), F.col("k"), F.col("pos")) < 1.0 / cfg.bootstrap_block)
-    path = path.withColumn("to", F.when(start, F.floor(hash_uniform(cfg.seed, F.lit("to"), F.col("k"), F.col("pos")) * F.col("n")).cast("long"))).withColumn("from", F.when(start, F.col("pos")))
-    so_far = Window.partitionBy(*by, "k").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    at = (F.last("to", True).over(so_far) + F.col("pos") - F.last("from", True).over(so_far)) % F.col("n")
-    drawn = path.select(*by, "k", at.alias("pos")).join(rows.select(*by, F.col("pos").cast("long").alias("pos"), "ex"), [*by, "pos"])
-    return drawn.groupBy(*by, "k").agg(sharpe(F.col("ex"), cfg.days_per_year).alias("sharpe"))
-
-
-def bootstrap_interval(returns: DataFrame, cfg: BacktestConfig, by: Keys = ()) -> DataFrame:
-    tail = (1 - cfg.confidence) / 2
-    return bootstrap_draws(returns, cfg, by).groupBy(*by).agg(F.percentile("sharpe", F.lit(tail)).alias("lo"), F.percentile("sharpe", F.lit(1 - tail)).alias("hi"), F.count("sharpe").alias("draws"))
+__all__ = ["bootstrap_draws", "bootstrap_interval", "candidates", "hash_uniform", "null_draws", "null_test", "perturbed", "sensitivity", "sensitivity_summary", "shuffled_panels"]
 
 
 def shuffled_panels(panel: DataFrame, draws: int, seed: int) -> DataFrame:
@@ -45,7 +21,7 @@ def shuffled_panels(panel: DataFrame, draws: int, seed: int) -> DataFrame:
     close (X3)."""
     dense = densify(panel.select("date", "ticker", clean("close").alias("close"))).withColumn("c", pad("close")).where(F.col("c").isNotNull())
     dense = dense.withColumn("r", change("c")).withColumn("i", F.row_number().over(Window.partitionBy("ticker").orderBy("date")) - 1)
-    keyed = dense.select(F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("k"), "date", "ticker", "i", "r", "c")
+    keyed = dense.select(F.explode(each_draw(draws)).alias("k"), "date", "ticker", "i", "r", "c")
     order = Window.partitionBy("k", "ticker").orderBy(hash_uniform(seed, F.col("k"), F.col("ticker"), F.col("i")), "i")
     mixed = keyed.where("i > 0").withColumn("j", F.row_number().over(order)).select("k", "ticker", F.col("j").alias("i"), F.col("r").alias("mixed"))
     w = Window.partitionBy("k", "ticker").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -53,30 +29,24 @@ def shuffled_panels(panel: DataFrame, draws: int, seed: int) -> DataFrame:
     return out.select("k", "date", "ticker", F.when(F.col("close") > 0, F.col("close")).alias("close"))
 
 
-def null_test(panel: DataFrame, signal: Callable[..., DataFrame], cfg: BacktestConfig, draws: int = 200) -> DataFrame:
-    """One row: the real Sharpe, and mean, spread, 5 and 95 percent points of the shuffled ones, and p (X3b, A21). Draws
-    are a key of the panel: the signal and the returns run once for all of them."""
+def null_draws(panel: DataFrame, signal: Callable[..., DataFrame], cfg: BacktestConfig, draws: int = 200) -> DataFrame:
+    """(k, s): the Sharpe ratio of each shuffled panel, NULL where it has none. Draws are a key of the panel: the signal and the
+    returns, with all their costs, run once for all of them."""
     shuffled = shuffled_panels(panel, draws, cfg.seed)
-    weights = signal(shuffled, by=("k",))
-    daily = with_excess(_keyed_returns(weights, shuffled, cfg), cfg).where(out_of_sample(cfg))
-    null = daily.groupBy("k").agg(sharpe(F.col("ex"), cfg.days_per_year).alias("s"))
-    real = with_excess(strat_returns(signal(panel), panel, cfg), cfg).where(out_of_sample(cfg)).agg(sharpe(F.col("ex"), cfg.days_per_year).alias("real"))
-    return null.crossJoin(F.broadcast(real)).agg(
-        F.first("real").alias("real"), F.count("s").alias("draws"), F.avg("s").alias("mean"), F.stddev_samp("s").alias("sd"), F.percentile("s", F.lit(0.05)).alias("p05"),
-        F.percentile("s", F.lit(0.95)).alias("p95"), F.avg(F.when(F.col("s").isNotNull(), (F.col("s") >= F.col("real")).cast("double"))).alias("p"),
-    )
-
+    daily = with_excess(strat_returns(signal(shuffled, by=("k",)), shuffled, cfg, ("k",), ("k",)), cfg).where(out_of_sample(cfg))
+    return daily.groupBy("k").agg(sharpe(F.col("ex"), cfg.days_per_year).alias("s"))
 
-def _keyed_returns(weights: DataFrame, panels: DataFrame, cfg: BacktestConfig) -> DataFrame:
-    """Daily returns where every draw k has prices of its own."""
-    from .panel import along
 
-    p = densify(panels, ("k",)).withColumn("c", pad("close", ("k",)))
-    p = p.withColumn("ret1", F.coalesce(change("c", 1, ("k",)), F.lit(0.0))).join(weights, ["k", "date", "ticker"], "left")
-    w = along(("k",))
-    p = p.withColumn("target", F.when(F.col("c").isNotNull(), F.coalesce(pad("w", ("k",)), F.lit(0.0))).otherwise(0.0))
-    p = p.withColumn("w_eff", F.coalesce(F.lag("target").over(w), F.lit(0.0))).withColumn("dw", F.abs(F.coalesce(F.col("w_eff") - F.lag("w_eff").over(w), F.lit(0.0))))
-    return p.groupBy("k", "date").agg((F.sum(F.col("w_eff") * F.col("ret1")) - F.sum("dw") * F.lit(cfg.cost_bps / 1e4)).alias("ret"))
+def null_test(panel: DataFrame, signal: Callable[..., DataFrame], cfg: BacktestConfig, draws: int = 200) -> DataFrame:
+    """One row: the real Sharpe, how many draws have one and how many failed, mean, spread, 5 and 95 percent points of the
+    shuffled ones, p and the verdict at `p_limit` (X3b, A21). p is NULL without the real ratio or without any draw."""
+    null = null_draws(panel, signal, cfg, draws)
+    real = with_excess(strat_returns(signal(panel), panel, cfg), cfg).where(out_of_sample(cfg)).agg(sharpe(F.col("ex"), cfg.days_per_year).alias("real"))
+    out = null.crossJoin(F.broadcast(real)).agg(
+        F.first("real").alias("real"), F.count("s").alias("draws"), (F.lit(max(0, draws)) - F.count("s")).alias("failed"), F.avg("s").alias("mean"), F.stddev_samp("s").alias("sd"),
+        F.percentile("s", F.lit(0.05)).alias("p05"), F.percentile("s", F.lit(0.95)).alias("p95"), F.avg(F.when(F.col("s").isNotNull(), (F.col("s") >= F.col("real")).cast("double"))).alias("p"),
+    )
+    return out.withColumn("status", F.when(F.col("p") <= cfg.p_limit, "REJECT_NULL").when(F.col("p").isNotNull(), "FAIL_TO_REJECT"))
 
 
 def perturbed(value: int | float) -> list[int | float]:

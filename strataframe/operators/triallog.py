@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import deflated_z, expected_max_sharpe
+from ..functions.stats import deflated_z, expected_max_sharpe, norm_cdf_col
 
 _ORDER = ("written_at", "row_no")
 
@@ -52,12 +52,26 @@ def repaired(results: DataFrame, oos_log: DataFrame) -> DataFrame:
     return results.join(true, "commit", "left").withColumn("oos_sharpe", F.when(good, F.col("true_sharpe")).otherwise(F.col("oos_sharpe"))).drop("true_sharpe")
 
 
-def running_best(log: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def running_best(log: DataFrame, by: tuple[str, ...] = (), stretch: int = 1_000_000) -> DataFrame:
     """Kept trials in order with the best so far and the change against the kept one before (W11, W12), each group of `by`
-    on its own. Without `by` the whole log is one sequence, and one task orders it: for the log of one universe."""
-    w = Window.partitionBy(*by).orderBy("row_no")
-    kept = log.where((F.col("status") == "keep") & F.col("oos_sharpe").isNotNull())
-    return kept.withColumn("best", F.max("oos_sharpe").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("delta", F.col("oos_sharpe") - F.lag("oos_sharpe").over(w))
+    on its own. The log is cut into stretches of `stretch` row numbers, so that no sequence, however long, is one task: what
+    a stretch takes over from those before it is a row a stretch."""
+    kept = log.where((F.col("status") == "keep") & F.col("oos_sharpe").isNotNull()).withColumn("__at", F.floor(F.col("row_no") / stretch))
+    w = Window.partitionBy(*by, "__at").orderBy("row_no")
+    ends = kept.groupBy(*by, "__at").agg(F.max("oos_sharpe").alias("best"), F.max_by("oos_sharpe", "row_no").alias("last"))
+    order = Window.partitionBy(*by).orderBy("__at")
+    ends = ends.select(*by, "__at", F.max("best").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__best"), F.lag("last").over(order).alias("__last"))
+    rows = kept.withColumns({"__max": F.max("oos_sharpe").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__lag": F.lag("oos_sharpe").over(w)}).join(ends, [*by, "__at"])
+    rows = rows.withColumns({"best": F.greatest("__max", "__best"), "delta": F.col("oos_sharpe") - F.coalesce("__lag", "__last")})
+    return rows.select(*log.columns, "best", "delta")
+
+
+def best_kept(log: DataFrame) -> DataFrame:
+    """The kept trial with the greatest ratio, the earliest of several, and the number of rows of the log (X9); one row, NULL
+    where nothing is kept."""
+    use = (F.col("status") == "keep") & finite(F.col("oos_sharpe"))
+    best = F.max_by(F.struct("oos_sharpe", "commit"), F.when(use, F.struct("oos_sharpe", (-F.col("row_no")).alias("r"))))
+    return log.agg(best.alias("b"), F.count("*").alias("trials")).select(F.col("b.oos_sharpe").alias("best_sharpe"), F.col("b.commit").alias("best_commit"), "trials")
 
 
 def pool(log: DataFrame, version: str | None = "2", by: tuple[str, ...] = ("universe_tag",)) -> DataFrame:
@@ -95,6 +109,24 @@ def gate_totals(audit: DataFrame) -> DataFrame:
     )
 
 
+def gate_totals_all(audit: DataFrame, log: DataFrame) -> DataFrame:
+    """Trials and passes of each universe and of all together (universe_tag TOTAL), as shares too, and the trials kept."""
+    sums = lambda df, *a: df.groupBy("universe_tag").agg(*a)
+    a = sums(audit, F.count("*").alias("trials"), F.count_if(F.col("margin") > 0).alias("pass_plain"), F.count_if(F.col("margin_deflated") > 0).alias("pass_deflated"))
+    both = sums(log, F.count_if(F.col("status") == "keep").alias("keeps")).join(a, "universe_tag", "left").na.fill(0)
+    names = ("trials", "pass_plain", "pass_deflated", "keeps")
+    out = both.rollup("universe_tag").agg(*[F.sum(c).alias(c) for c in names]).withColumn("universe_tag", F.coalesce("universe_tag", F.lit("TOTAL")))
+    return out.withColumns({f"{c}_share": F.try_divide(F.col(c).cast("double"), F.col("trials")) for c in ("pass_plain", "pass_deflated")})
+
+
+def cross_universe(log: DataFrame, alpha: float = 0.05, days: int = 1260, scale: float = 1.0) -> DataFrame:
+    """universe_report() of the universes with a usable cohort, with the chance p_raw that the best is luck, p_adj = K p_raw for
+    the K universes, and the verdict, the most certain first (X6, A25, T2)."""
+    r = universe_report(log, days, scale).where((F.col("n_live") >= 2) & F.col("z").isNotNull())
+    r = r.withColumn("p_raw", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - norm_cdf_col(F.col("z"))))).withColumn("p_adj", F.least(F.lit(1.0), F.col("p_raw") * F.col("cohorts")))
+    return r.withColumn("verdict", F.when(F.col("p_adj") <= alpha, "SURVIVES").otherwise("NOT_SIGNIFICANT")).orderBy("p_adj", "universe_tag")
+
+
 def universe_report(log: DataFrame, days: int = 1260, scale: float = 1.0) -> DataFrame:
     """Best trial of each universe, its deflated z and the number of usable cohorts (X6, A24, A25); probabilities follow
     from z on the few rows of the report."""

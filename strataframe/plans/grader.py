@@ -61,6 +61,31 @@ def gates(row: dict, base: dict, hurdle: float, z: float | None, cfg: BacktestCo
     }
 
 
+def grade_gates(runs: DataFrame, cfg: BacktestConfig, by: tuple[str, ...] = ("universe_tag",)) -> DataFrame:
+    """The eight gates of every run against the first run of its group that is no crash, as one plan: the group's hurdle, a
+    column for each gate and `passed`. A column `paired_p`, where there is one and not NULL, takes the place of the interval's
+    lower end. Baselines themselves are not graded; missing values fail their gate (X4b)."""
+    live = runs.where("status <> 'crash'")
+    first = F.min_by(F.struct(F.col("commit").alias("base_commit"), F.col("oos_sharpe").alias("base_sharpe"), F.col("is_fold_median_sharpe").alias("base_fold")), "row_no")
+    base = live.groupBy(*by).agg(first.alias("b")).select(*by, "b.*")
+    chance = pool(runs, cfg.hurdle_version, by).select(*by, F.coalesce(expected_max_sharpe(F.col("sigma"), F.col("n")), F.lit(0.0)).alias("sr0"))
+    r = runs.join(base.join(chance, list(by)), list(by)).where(F.col("commit") != F.col("base_commit"))
+    r = r.withColumn("hurdle", F.coalesce("base_sharpe", F.lit(0.0)) + cfg.hurdle + F.greatest("sr0", F.lit(0.0)))
+    better = F.col("oos_sharpe_lo") > F.col("base_sharpe")
+    checks = {
+        "sharpe_over_hurdle": F.col("oos_sharpe") > F.col("hurdle"),
+        "better_than_baseline": F.coalesce(F.col("paired_p") <= cfg.p_limit, better) if "paired_p" in runs.columns else better,
+        "is_fold_median": F.when(F.col("base_fold").isNull(), F.col("is_fold_median_sharpe").isNotNull()).otherwise(F.col("is_fold_median_sharpe") > F.col("base_fold") + cfg.fold_margin),
+        "oos_fold_median": F.col("oos_fold_median_sharpe") > 0, "worst_fold": F.col("min_fold_sharpe") > 0, "drawdown": F.col("max_drawdown") <= cfg.max_drawdown,
+        "turnover": F.col("turnover_annual") <= cfg.max_turnover, "trades": F.col("num_trades") >= cfg.min_trades,
+    }
+    r = r.select(*by, "commit", "hurdle", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
+    passed = F.col("trades")
+    for n in list(checks)[:-1]:
+        passed = passed & F.col(n)
+    return r.withColumn("passed", passed)
+
+
 def deflated_hurdle(log: DataFrame, base_sharpe: float, cfg: BacktestConfig) -> float:
     """Baseline, plus the fixed hurdle, plus what the best of the pool would reach by chance."""
     row = pool(log, cfg.hurdle_version, ()).select(expected_max_sharpe(F.col("sigma"), F.col("n")).alias("sr0")).first()

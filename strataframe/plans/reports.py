@@ -28,3 +28,34 @@ def summary_lines(metrics: DataFrame, show: bool) -> DataFrame:
 
 def fixed_width(df: DataFrame, widths: dict[str, int]) -> DataFrame:
     return df.select(F.concat_ws(" ", *[F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("")), w, " ") for c, w in widths.items()]).alias("line"))
+
+
+#: Lines of the summary block by name, how many decimals, and whether they stay readable when hidden.
+SUMMARY = (
+    ("oos_sharpe", 6, False), ("is_sharpe", 6, True), ("max_drawdown", 4, False), ("annual_return", 4, False), ("annual_vol", 4, False), ("turnover_annual", 2, False), ("calmar", 4, False),
+    ("num_trades", 0, True), ("median_fold_sharpe", 6, False), ("min_fold_sharpe", 6, False), ("is_fold_median_sharpe", 6, True), ("is_fold_min_sharpe", 6, True), ("oos_fold_median_sharpe", 6, False),
+    ("oos_fold_min_sharpe", 6, False), ("status_hint", None, True),
+)
+
+
+def summary(result: DataFrame, show: bool) -> DataFrame:
+    """(metric, value) rows of one run's summary block: the interval, years and folds among them; NULL reads nan. Without `show`
+    out-of-sample figures and folds are hidden and years left out; trades and the status always show (S24)."""
+    def text(c, digits):
+        return F.coalesce(F.format_string(f"%.{digits}f", F.col(c).cast("double")), F.lit("nan"))
+
+    line = lambda name, value: F.struct(F.lit(name).alias("metric"), value.alias("value"))
+    fixed = [line(n, F.col(n).cast("string") if d is None else text(n, d) if show or keep else F.lit(HIDDEN)) for n, d, keep in SUMMARY]
+    ci = F.concat(F.lit("["), text("oos_sharpe_lo", 6), F.lit(", "), text("oos_sharpe_hi", 6), F.lit("]")) if show else F.lit(HIDDEN)
+    entry = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].cast("string").alias("k"), e["value"].alias("v")))
+    shown = lambda e: F.coalesce(F.format_string("%.6f", e["v"]), F.lit("nan")) if show else F.lit(HIDDEN)
+    folds = F.transform(entry("fold_sharpes"), lambda e: F.struct(e["k"].alias("metric"), shown(e).alias("value")))
+    years = F.transform(entry("yearly_sharpe"), lambda e: F.struct(F.concat(F.lit("oos_sharpe_"), e["k"]).alias("metric"), shown(e).alias("value")))
+    lines = [F.array(*fixed, line("oos_sharpe_ci", ci)), folds, *([years] if show else [])]
+    return result.select(F.inline(F.concat(*lines)))
+
+
+def printed_sharpe(lines: DataFrame, column: str = "value") -> DataFrame:
+    """`oos_sharpe` as a number from the text of a printed summary; NULL where no line has one."""
+    found = F.regexp_extract(F.col(column), r"(?m)^oos_sharpe:\s+(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s*$", 1)
+    return lines.withColumn("oos_sharpe", found.try_cast("double"))

@@ -361,11 +361,11 @@ def fold_medians(s, d):
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
-@query("SELECT 0.0::DOUBLE AS null_share, round((SELECT max(gross) FROM daily), 8) AS max_gross, (SELECT count(DISTINCT h) FROM (SELECT date, string_agg(printf('%s:%.7f', ticker, abs(w_eff)), ',' ORDER BY ticker) AS h FROM eff WHERE date BETWEEN DATE '2000-01-01' AND DATE '2001-12-31' GROUP BY 1)) >= 2 AS moving")
+@query("SELECT (SELECT 1 - count(w) / CAST(count(*) AS DOUBLE) FROM weekly) AS null_share, round((SELECT max(gross) FROM daily), 8) AS max_gross, (SELECT count(DISTINCT h) FROM (SELECT date, string_agg(printf('%s:%.7f', ticker, abs(w_eff)), ',' ORDER BY ticker) AS h FROM eff WHERE date BETWEEN DATE '2000-01-01' AND DATE '2001-12-31' GROUP BY 1)) >= 2 AS moving")
 def guards(s, d):
     p = _flat(s, d)
     w = sg.quad_reversal(p)
-    return bt.guards(w, bt.effective_weights(w, p, CFG), CFG).select("null_share", F.round("max_gross", 8).alias("max_gross"), (F.col("oos_rows") >= 2).alias("moving"))
+    return bt.guards(w, bt.strat_returns(w, p, CFG), CFG).select("null_share", F.round("max_gross", 8).alias("max_gross"), (F.col("oos_rows") >= 2).alias("moving"))
 
 
 @query(f"SELECT CASE WHEN num_trades < 50 THEN 'crash' WHEN max_drawdown > 0.35 OR turnover_annual > 50 THEN 'force_discard' ELSE 'keep_eligible' END AS status_hint, num_trades FROM ({_HEAD})")
@@ -374,12 +374,6 @@ def status_hint(s, d):
     return bt.run_backtest(sg.quad_reversal(p), p, CFG).select("status_hint", "num_trades")
 
 
-@query("SELECT '<hidden, SHOW_OOS=0>' AS oos_sharpe, '<hidden, SHOW_OOS=0>' AS max_drawdown, CAST(1 AS BIGINT) AS n")
-def summary_masked(s, d):
-    m = reports.masked(bt.headline(_daily(s, d), CFG), False)
-    return m.select("oos_sharpe", "max_drawdown").withColumn("n", F.lit(1).cast("long"))
-
-
 @query("SELECT p, round(" + _ppf("p") + ", 9) AS z FROM (SELECT CAST(range AS DOUBLE) / 1000 AS p FROM range(1, 1000))", base="")
 def norm_ppf(s, d):
     return s.range(1, 1000).select((F.col("id").cast("double") / 1000).alias("p")).withColumn("z", F.round(stats.norm_ppf(F.col("p")), 9))
@@ -412,12 +406,12 @@ def effective_n(s, d):
 
 
 @query(_CRET + """, m AS (SELECT count(*) AS n, avg(x.r) / stddev_samp(x.r) AS sa, avg(y.r) / stddev_samp(y.r) AS sb, corr(x.r, y.r) AS rho FROM cr x JOIN cr y ON x.date = y.date WHERE x.ticker = (SELECT min(ticker) FROM cr) AND y.ticker = (SELECT max(ticker) FROM cr) AND x.r IS NOT NULL AND y.r IS NOT NULL)
-SELECT n, round(sa * sqrt(252.0::DOUBLE), 6) AS sharpe_a, round(sb * sqrt(252.0::DOUBLE), 6) AS sharpe_b, round((sa - sb) / sqrt((2 - 2 * rho + 0.5 * (sa * sa + sb * sb - 2 * sa * sb * rho * rho)) / n), 6) AS z FROM m""")
+SELECT n, round(sa * sqrt(252.0::DOUBLE), 6) AS sharpe_a, round(sb * sqrt(252.0::DOUBLE), 6) AS sharpe_b, round((sa - sb) / sqrt((2 - 2 * rho + 0.5 * (sa * sa + sb * sb) - 0.5 * sa * sb * (1 + rho * rho)) / n), 6) AS z FROM m""")
 def jk_memmel_z(s, d):
     x = _series(s, d).select(F.col("t").alias("date"), "id", F.col("r").alias("ret"))
     ends = x.agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     pick = lambda e: x.join(F.broadcast(ends), F.col("id") == F.col(e)).select("date", "ret")
-    return stats.paired_sharpe_test(pick("lo"), pick("hi")).withColumns(r8("sharpe_a", "sharpe_b", "z", digits=6))
+    return stats.paired_sharpe_test(pick("lo"), pick("hi")).drop("p").withColumns(r8("sharpe_a", "sharpe_b", "z", digits=6))
 
 
 @query("""
@@ -432,12 +426,12 @@ def bootstrap_ci(s, d):
 
 @query()
 def null_shuffle_p(s, d):
-    return sim.null_test(fx.panel_compound(s, d), sg.quad_reversal, CFG)
+    return sim.null_test(fx.panel_compound(s, d), sg.quad_reversal, CFG).withColumns(r8("real", "mean", "sd", "p05", "p95", digits=6))
 
 
 @query()
 def sensitivity_sweep(s, d):
-    return sim.sensitivity(_flat(s, d), sg.quad_reversal, {"short": 21, "long": 63, "vol_days": 63, "size_days": 63, "threshold": 0.1, "gross": 0.5}, CFG)
+    return sim.sensitivity(_flat(s, d), sg.quad_reversal, {"short": 21, "long": 63, "vol_days": 63, "size_days": 63, "threshold": 0.1, "gross": 0.5}, CFG).withColumns(r8("sharpe", "delta", digits=6))
 
 
 @query("SELECT upper(status) AS status, count(*) AS n, round((SELECT count(*) FILTER (status = 'keep') / CAST(count(*) FILTER (status <> 'crash') AS DOUBLE) FROM log), 8) AS keep_rate FROM log GROUP BY 1", base=_LOG)
@@ -536,3 +530,6 @@ def sweep_shapes(s, d):
 @query("SELECT CAST(least(floor((oos_sharpe - lo) * 40 / (hi - lo)), 39) AS INTEGER) AS bin, count(*) AS n FROM log, (SELECT min(oos_sharpe) AS lo, max(oos_sharpe) AS hi FROM log) WHERE oos_sharpe IS NOT NULL GROUP BY 1", base=_LOG)
 def hist_sharpe(s, d):
     return tl.histogram(fx.trial_log(s, d), "oos_sharpe")
+
+
+from . import queries_more  # noqa: E402, F401

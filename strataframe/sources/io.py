@@ -24,6 +24,37 @@ def read_panel(spark: SparkSession, path: str, fields: tuple[str, ...] = FIELDS)
     return p.select(F.col("date").cast("date").alias("date"), "ticker", *[F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(f) for f in fields])
 
 
+def exists(spark: SparkSession, *paths: str) -> bool:
+    """Whether all paths are there, in any store that Spark reads."""
+    def there(path):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+    return all(there(p) for p in paths)
+
+
+def missing_columns(df: DataFrame, needed: tuple[str, ...]) -> list[str]:
+    """Columns that a table should have and has not (P15); callers skip or reject it."""
+    return sorted(set(needed) - set(df.columns))
+
+
+def read_market(spark: SparkSession, path: str, ticker: str | None = None) -> DataFrame:
+    """(date, mkt) of a market series kept as a long panel, or as one column beside the date (S10); broadcast by its users."""
+    p = spark.read.parquet(path)
+    if "ticker" in p.columns:
+        p = p.where(F.col("ticker") == ticker) if ticker is not None else p
+        return p.select(F.col("date").cast("date").alias("date"), F.nanvl(F.col("close").cast("double"), F.lit(None)).alias("mkt"))
+    value = next(c for c in p.columns if c != "date")
+    return p.select(F.col("date").cast("date").alias("date"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("mkt"))
+
+
+def assemble(requested: DataFrame, first: DataFrame, fetch) -> tuple[DataFrame, DataFrame]:
+    """The panel of a first batch and of fetch(tickers) for what it lacks, and the tickers that neither has (S4). `fetch` is any
+    source: it takes a frame of tickers and gives long rows."""
+    panel = merge_batches(first, fetch(retry_missing(requested, first)))
+    return panel, retry_missing(requested, panel)
+
+
 def with_dollar_volume(panel: DataFrame) -> DataFrame:
     return panel.withColumn("dollar_volume", F.col("close") * F.col("volume"))
 
@@ -87,11 +118,13 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Trial caches of one or many universes (a glob); the universe is the file's name."""
+    """Trial caches of one or many universes (a glob); the universe is the file's name (S15, S16). Rows with another number of
+    fields are kept apart: their text is in `malformed`, which is NULL for others."""
+    schema = CACHE + ", malformed string"
     try:
-        c = _numbered(spark.read.schema(CACHE).csv(path, sep="\t", header=True))
+        c = _numbered(spark.read.schema(schema).option("columnNameOfCorruptRecord", "malformed").csv(path, sep="\t", header=True, mode="PERMISSIVE", enforceSchema=True))
     except AnalysisException:
-        c = _numbered(spark.createDataFrame([], CACHE))
+        c = _numbered(spark.createDataFrame([], schema))
     tag = F.regexp_extract(F.input_file_name(), r"trial_cache_(.+)\.tsv$", 1)
     return c.withColumn("universe_tag", tag).withColumn("oos_sharpe", F.nanvl(F.expr("try_cast(oos_sharpe AS DOUBLE)"), F.lit(None))).withColumn("status", F.lower(F.trim("status")))
 
@@ -124,13 +157,14 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 @contextlib.contextmanager
-def log_lock(path: str) -> Iterator[None]:
-    """One writer at a time on this driver's machine, over read, check and append."""
+def log_lock(path: str, shared: bool = False) -> Iterator[None]:
+    """One writer at a time on this driver's machine, over read, check and append (S22); `shared` lets readers in together.
+    Writers on other machines are not held: give them a log each, or a table format with commits."""
     import fcntl
 
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "a") as f:
-        fcntl.flock(f, fcntl.LOCK_EX)
+        fcntl.flock(f, fcntl.LOCK_SH if shared else fcntl.LOCK_EX)
         try:
             yield
         finally:
