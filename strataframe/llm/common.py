@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import os
 import re
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..scratch import dropping_tables, work_dir, written
+
+__all__ = ["BLANKS", "SHINGLE", "SIMILARITY", "WordEncoder", "ascii_words", "dropping_tables", "encoder", "forget_words", "map_texts", "row_key", "small_batches", "table", "word_tokenizer_path", "work_dir", "written"]
+
 #: The white space of the contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 _SPLIT = re.compile("[\x20\x09-\x0d]+")
@@ -80,53 +78,6 @@ def map_texts(df: DataFrame, make, schema: str) -> DataFrame:
     return df.select(*keep, "text").mapInArrow(run, out)
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    path = tempfile.mkdtemp(prefix="strataframe-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
-_TABLES: list[str] = []
-
-
-@contextlib.contextmanager
-def dropping_tables(spark: SparkSession) -> Iterator[None]:
-    """Remove the tables that are written inside once their reader, inside too, has stored its result."""
-    first = len(_TABLES)
-    try:
-        yield
-    finally:
-        for path in _TABLES[first:]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        del _TABLES[first:]
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only in local mode, where none is set."""
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
-        return shared
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_folder()
-
-
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts lineage and outlives lost executors.
-
-    The table is removed when the application ends, or before by `dropping_tables` unless `keep`.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/strataframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    if not keep:
-        _TABLES.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(*columns: Column) -> tuple[Column, Column]:
     """128 bits that name a row by its content; null-safe, the same for repeated rows."""
     parts = [F.coalesce(c.cast("string"), F.lit("\0null")) for c in columns]
