@@ -200,7 +200,7 @@ def _cores(big: DataFrame, sets: DataFrame, contents: DataFrame, similarity: flo
     Of each large bucket the set that meets most others there and elsewhere is the pivot, and a set takes the best pivot of
     its buckets. Jaccard distance is a metric: sets within half of the allowed distance of one pivot are links of each
     other, so a group of near copies is counted by its size and its pairs are never made. Members of a pivot are dealt over
-    parts of bounded bytes, each with a copy of the pivot's set; a part is read as a stream.
+    parts of bounded numbers and bytes, each with a copy of the pivot's set; a part is read as a stream.
     """
     score = big.groupBy("s").agg(F.sum("m").alias("score"))
     scored = written(big.join(score.hint("merge"), "s"), "scored")
@@ -208,9 +208,9 @@ def _cores(big: DataFrame, sets: DataFrame, contents: DataFrame, similarity: flo
     best = scored.join(top.hint("merge"), ["band", "key"]).groupBy("s").agg(F.max("top").alias("top"))
     best = best.select("s", F.col("top.s").alias("pivot")).join(sets.select("s", "n").hint("merge"), "s")
     best = written(best, "pivots")
-    sizes = best.groupBy("pivot").agg(F.sum(F.col("n").cast("long") * 8 + 64).alias("bytes"))
+    sizes = best.groupBy("pivot").agg(F.greatest(F.sum(F.col("n").cast("long") * 8 + 64) / PART_BYTES, F.count("*") / (2 * BLOCK)).alias("parts"))
     # This and the other sides of joins on hot keys are written, so that both sides are plain exchanges, which Spark can split.
-    parts = written(sizes.select("pivot", F.ceil(F.col("bytes") / PART_BYTES).cast("int").alias("parts")), "parts")
+    parts = written(sizes.select("pivot", F.ceil("parts").cast("int").alias("parts")), "parts")
     dealt = best.join(parts.hint("merge"), "pivot").select("s", "pivot", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("part"))
     members = dealt.join(contents.hint("merge"), "s").select("pivot", "part", F.lit(1).alias("kind"), "s", "set")
     pivots = parts.join(contents.select(F.col("s").alias("pivot"), "set").hint("merge"), "pivot")
