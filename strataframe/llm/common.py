@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..scratch import dropping_tables, work_dir, written
 
-__all__ = ["BLANKS", "SHINGLE", "SIMILARITY", "WordEncoder", "ascii_words", "dropping_tables", "encoder", "forget_words", "map_texts", "row_key", "small_batches", "table", "word_tokenizer_path", "work_dir", "written"]
+__all__ = ["BLANKS", "REMEMBERED", "SHINGLE", "SIMILARITY", "WordEncoder", "ascii_words", "dropping_tables", "encoder", "forget_words", "map_texts", "row_key", "small_batches", "table", "word_tokenizer_path", "work_dir", "written"]
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -190,11 +190,15 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+#: What a worker remembers of tokenizers; modules with encoders of their own add theirs.
+REMEMBERED = [encoder, _tokenizer]
+
+
 def forget_words() -> None:
-    """Drop the encoder of this Python worker. Workers are used again by later stages; those that keep words of their own
+    """Drop the encoders of this Python worker. Workers are used again by later stages; those that keep words of their own
     call this first, so that a worker holds the words of one operator at a time."""
-    encoder.cache_clear()
-    _tokenizer.cache_clear()
+    for cache in REMEMBERED:
+        cache.cache_clear()
 
 
 def word_tokenizer_path() -> str:

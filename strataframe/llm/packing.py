@@ -8,7 +8,8 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, map_texts, table, word_tokenizer_path, written
+from .common import map_texts, table, word_tokenizer_path, written
+from .piece_encoder import piece_encoder
 
 CAPACITY, END_ID = 2048, 0
 _PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -20,7 +21,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
     repeated rows give their pieces again, a null doc_id stays null, an empty table gives an empty table."""
 
     def cut():
-        enc = encoder(tokenizer)
+        enc = piece_encoder(tokenizer)
 
         def of(texts):
             rows = []

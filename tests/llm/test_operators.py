@@ -20,6 +20,7 @@ from strataframe.llm.jaccard_join import SQL as JACCARD_SQL
 from strataframe.llm.language_id import identify_languages, train_language_tree
 from strataframe.llm.line_dedup import line_dedup
 from strataframe.llm.packing import best_fit_pack, pack_documents, plan_slots, token_pieces
+from strataframe.llm.piece_encoder import PieceEncoder
 from strataframe.llm.quality import BASE_SQL, LineField, base_counts, quality_rules, repeated_words, train_line_field
 from strataframe.llm.substring_dedup import chunk_ends, cut_spans, repeated_spans
 from strataframe.llm.surrogates import pseudonymise, surrogate_units
@@ -138,6 +139,19 @@ def test_word_encoder(text):
     assert np.frombuffer(common.WordEncoder(path).encode([text])[0], "<u4").tolist() == want
 
 
+@pytest.mark.parametrize("remember, block", [(1_000_000, 1 << 20), (50, 64)])
+def test_piece_encoder_on_random_texts(remember, block):
+    """Many small texts, and one long text cut into many blocks: the ids are those of the tokenizer."""
+    path, r = common.word_tokenizer_path(), random.Random(5)
+    alphabet = [*"aAbZzstrevmld'\"0129 \t\n\x0b\x0c\r.,!<|>_-’…éÉ×÷ÿßĀāĮįİıаЯΣσς中۱²½µª\u0301\u0338\xa0\x85\x1c\x00\x7f\u2028😀Åﬁ", "'s", "'RE", "'ll", "<|", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "क्"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 3, 10, 40, 300]))) for _ in range(1200)] + [" ".join("".join(r.choice(alphabet) for _ in range(60)) for _ in range(300))]
+    enc, tok = PieceEncoder(path, remember, block), common._tokenizer(path)
+    for at in range(0, len(texts), 50):
+        for t, ids in zip(texts[at : at + 50], enc.encode(texts[at : at + 50])):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    assert enc.encode([]) == []
+
+
 def test_token_counts(spark, odd):
     tok = common._tokenizer(common.word_tokenizer_path())
     count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
