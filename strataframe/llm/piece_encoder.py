@@ -187,7 +187,7 @@ class PieceEncoder:
         return start, end, odd, text
 
     def _block(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the pieces of a block, the number of ids of each, and all ids."""
+        """Starts of the pieces of a block, where the ids of each are in the pool, and how many."""
         raw += b" " + bytes(16)
         start, end, odd, text = self._cut(raw)
         size = end - start
@@ -223,9 +223,7 @@ class PieceEncoder:
         for p, far, i in flags:
             if far:
                 first[i], number[i] = self.long[p]
-        after = np.cumsum(number)
-        ids = self.pool[np.repeat(first - (after - number), number) + np.arange(int(number.sum()))]
-        return start, number, ids
+        return start, first, number
 
     def _parts(self, text: bytes):
         """A text in parts of about a block, cut at blanks."""
@@ -238,30 +236,47 @@ class PieceEncoder:
             at = blank.start()
         yield text[at:]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        out, waiting, size = [[] for _ in texts], [], 0
+    def _blocks(self, texts: list[str]):
+        """Texts in blocks: which text each part belongs to, the places of the parts among the block's pieces, and of each piece
+        where its ids are in the pool and how many."""
+        owners, parts, size = [], [], 0
 
-        def flush():
-            raw = b" ".join([part for _, part in waiting])
-            begin = np.cumsum([0] + [len(part) + 1 for _, part in waiting])
-            start, number, ids = self._block(raw)
-            edge = np.concatenate([[0], np.cumsum(number)])[np.searchsorted(start, begin)].tolist()
-            for (i, _), a, b in zip(waiting, edge, edge[1:]):
-                out[i].append(ids[a:b].tobytes())
-            waiting.clear()
+        def block():
+            begin = np.cumsum([0] + [len(part) + 1 for part in parts])
+            start, first, number = self._block(b" ".join(parts))
+            return owners, np.searchsorted(start, begin), first, number
 
         for i, text in enumerate(texts):
             for part in self._parts(text.encode()):
-                if waiting and size + len(part) > self.block:
-                    flush()
-                    size = 0
-                waiting.append((i, part))
+                if parts and size + len(part) > self.block:
+                    yield block()
+                    owners, parts, size = [], [], 0
+                owners.append(i)
+                parts.append(part)
                 size += len(part) + 1
-        if waiting:
-            flush()
+        if parts:
+            yield block()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        out = [[] for _ in texts]
+        for owners, at, first, number in self._blocks(texts):
+            after = np.cumsum(number)
+            ids = self.pool[np.repeat(first - (after - number), number) + np.arange(int(number.sum()))]
+            edge = np.concatenate([[0], after])[at].tolist()
+            for i, a, b in zip(owners, edge, edge[1:]):
+                out[i].append(ids[a:b].tobytes())
         return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
+    def sizes(self, texts: list[str]) -> list[int]:
+        """How many ids each text has."""
+        out = [0] * len(texts)
+        for owners, at, _, number in self._blocks(texts):
+            edge = np.concatenate([[0], np.cumsum(number)])[at]
+            for i, n in zip(owners, np.diff(edge).tolist()):
+                out[i] += n
+        return out
+
 
 @lru_cache(maxsize=4)
 def piece_encoder(path: str) -> PieceEncoder:

@@ -4,29 +4,69 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WordEncoder, ascii_words, encoder, map_texts, table, word_tokenizer_path, written
+from .common import BLANKS, map_texts, table, word_tokenizer_path, written
+from .piece_encoder import PieceEncoder, piece_encoder
 
 SEGMENT_CHARS = 256
 _TREE = "segments array<string>, chars array<int>, tokens array<int>"
 
 
+@lru_cache(maxsize=16)
+def _cutter(segment_chars: int) -> re.Pattern:
+    return re.compile(f"[\\s\\S]{{{segment_chars}}}[^{BLANKS}]*|[\\s\\S]+")
+
+
+def cut_segments(text: str, segment_chars: int = SEGMENT_CHARS) -> list[str]:
+    """The text in parts of `segment_chars` characters and on to the next blank; an empty text is one empty part."""
+    return _cutter(segment_chars).findall(text) or [""]
+
+
+def _summed(leaves: list[int]) -> list[int]:
+    """Nodes of a tree over a power of two of leaves; node 0 is not used."""
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        level = levels[-1]
+        levels.append([x + y for x, y in zip(level[::2], level[1::2])])
+    return [0, *(x for level in reversed(levels) for x in level)]
+
+
 class SegmentTree:
     """Segments of a text that end at blanks, with a binary tree of their lengths and token counts.
 
-    The tokenizer never joins text across a blank, so counts of segments add up. An edit re-encodes the segments
-    it touches and the neighbour that it may run into (its boundary context), then updates the sums above. Node 1 is the
-    root, node i has 2i and 2i + 1 below it, and the leaves are the last half.
+    The tokenizer never joins text across a blank, so counts of segments add up. An edit puts new text in the segments
+    it touches and the neighbour that it may run into (its boundary context). Their lengths are summed at once; they are
+    `stale` until settle() takes their new counts and updates the sums above, so that the segments of many edits and of
+    many trees are encoded in one call. Node 1 is the root, node i has 2i and 2i + 1 below it, and the leaves are the last half.
     """
 
+    def __init__(self, text: str, enc: PieceEncoder, segment_chars: int = SEGMENT_CHARS):
+        parts = cut_segments(text, segment_chars)
+        self._build(parts, enc.sizes(parts), enc)
+
+    @staticmethod
+    def of(parts: list[str], counts: list[int], enc: PieceEncoder) -> "SegmentTree":
+        """A tree over segments that are counted already."""
+        tree = SegmentTree.__new__(SegmentTree)
+        tree._build(parts, counts, enc)
+        return tree
+
+    def _build(self, parts: list[str], counts: list[int], enc: PieceEncoder) -> None:
+        self.enc, self.encoded, self.stale, self.n = enc, 0, set(), 1 << (len(parts) - 1).bit_length()
+        self.built, rest = sum(map(bool, parts)), self.n - len(parts)
+        self.parts = parts + [""] * rest
+        self.chars, self.tokens = _summed([*map(len, parts), *[0] * rest]), _summed([*counts, *[0] * rest])
+
     @staticmethod
-    def load(parts: list[str], chars: list[int], tokens: list[int], enc: WordEncoder) -> "SegmentTree":
+    def load(parts: list[str], chars: list[int], tokens: list[int], enc: PieceEncoder) -> "SegmentTree":
         """A kept tree; nothing is encoded."""
         tree = SegmentTree.__new__(SegmentTree)
-        tree.enc, tree.encoded, tree.n = enc, 0, len(chars) // 2
+        tree.enc, tree.encoded, tree.stale, tree.n = enc, 0, set(), len(chars) // 2
         tree.parts, tree.chars, tree.tokens = parts + [""] * (tree.n - len(parts)), list(chars), list(tokens)
         tree.built = sum(map(bool, parts))
         return tree
@@ -36,36 +76,30 @@ class SegmentTree:
         last = max((i for i, p in enumerate(self.parts) if p), default=0)
         return self.parts[: last + 1], self.chars, self.tokens
 
-    def __init__(self, text: str, enc: WordEncoder, segment_chars: int = SEGMENT_CHARS):
-        self.enc, self.encoded = enc, 0
-        parts, at = [], 0
-        while at < len(text):
-            end = min(len(text), at + segment_chars)
-            while end < len(text) and text[end] not in BLANKS:
-                end += 1
-            parts.append(text[at:end])
-            at = end
-        self.parts = parts or [""]
-        self.n = 1 << (len(self.parts) - 1).bit_length()
-        self.parts += [""] * (self.n - len(self.parts))
-        self.chars, self.tokens = [0] * (2 * self.n), [0] * (2 * self.n)
-        for i, p in enumerate(self.parts):
-            self._leaf(i, p)
-        for i in range(self.n - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-        self.built, self.encoded = self.encoded, 0
-
-    def _leaf(self, i: int, part: str) -> None:
-        words = ascii_words(part)
-        self.enc.learn([words])
-        known = self.enc.known
-        self.parts[i] = part
-        self.chars[self.n + i], self.tokens[self.n + i] = len(part), sum(len(known[w]) for w in words) // 4
-        self.encoded += bool(part)
+    def _sum_up(self, nodes: list[int], leaves) -> None:
+        """Sums above leaves, one level after the other."""
+        touched = {(self.n + i) // 2 for i in leaves} - {0}
+        while touched:
+            for i in touched:
+                nodes[i] = nodes[2 * i] + nodes[2 * i + 1]
+            touched = {i // 2 for i in touched} - {0}
+
+    def settle(self, counts: list[int]) -> None:
+        """Take the counts of the stale segments, in order."""
+        leaves = sorted(self.stale)
+        for i, c in zip(leaves, counts):
+            self.tokens[self.n + i] = c
+        self.encoded += sum(bool(self.parts[i]) for i in leaves)
+        self._sum_up(self.tokens, leaves)
+        self.stale.clear()
+
+    def stale_parts(self) -> list[str]:
+        return [self.parts[i] for i in sorted(self.stale)]
 
     @property
     def count(self) -> int:
+        if self.stale:
+            self.settle(self.enc.sizes(self.stale_parts()))
         return self.tokens[1]
 
     def _find(self, at: int) -> tuple[int, int]:
@@ -95,15 +129,10 @@ class SegmentTree:
             cuts.append(text[at:stop])
             at = stop
         cuts.append(text[at:])
-        touched = set()
         for i, part in zip(range(a, b + 1), cuts):
-            self._leaf(i, part)
-            touched.add((self.n + i) // 2)
-        while touched and touched != {0}:
-            for i in touched:
-                self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-                self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-            touched = {i // 2 for i in touched}
+            self.parts[i], self.chars[self.n + i] = part, len(part)
+        self.stale.update(range(a, b + 1))
+        self._sum_up(self.chars, range(a, b + 1))
 
 
 def standard_edits(text: str) -> list[tuple[int, int, str]]:
@@ -145,12 +174,12 @@ def segment_trees(docs: DataFrame, tokenizer: str, segment_chars: int = SEGMENT_
     """
 
     def build():
-        enc = encoder(tokenizer)
+        enc = piece_encoder(tokenizer)
 
         def of(texts):
-            texts = [t if isinstance(t, str) else "" for t in texts]
-            enc.learn([ascii_words(t) for t in texts])
-            kept = [SegmentTree(t, enc, segment_chars).kept() for t in texts]
+            parts = [cut_segments(t if isinstance(t, str) else "", segment_chars) for t in texts]
+            counts = iter(enc.sizes([p for ps in parts for p in ps]))
+            kept = [SegmentTree.of(ps, list(islice(counts, len(ps))), enc).kept() for ps in parts]
             return [list(c) for c in zip(*kept)] or [[]] * 3
 
         return of
@@ -176,17 +205,21 @@ def edit_trees(trees: DataFrame, edits: DataFrame | Callable[[str], list], token
     rows = trees.select("doc_id", F.struct(*[c for c in trees.columns if c != "doc_id"]).alias("text"))
 
     def change():
-        enc = encoder(tokenizer)
+        enc = piece_encoder(tokenizer)
 
         def of(kept):
-            done = []
+            done, trees = [], []
             for t in kept:
                 tree = SegmentTree.load(t["segments"], t["chars"], t["tokens"], enc)
                 before = tree.count
                 todo = given("".join(t["segments"])) if given else [(e["start"], e["end"], e["text"]) for e in t["__edits"] or []]
                 for start, end, new in apart(todo, tree.chars[1]):
                     tree.replace(start, end, new)
-                done.append((*tree.kept(), before, len(todo), tree.count, tree.built, tree.encoded))
+                trees.append((tree, before, len(todo)))
+            counts = iter(enc.sizes([p for tree, *_ in trees for p in tree.stale_parts()]))  # of all trees of the batch at once
+            for tree, before, n_edits in trees:
+                tree.settle(list(islice(counts, len(tree.stale))))
+                done.append((*tree.kept(), before, n_edits, tree.count, tree.built, tree.encoded))
             return [list(c) for c in zip(*done)] or [[]] * len(names)
 
         return of

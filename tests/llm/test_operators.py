@@ -149,7 +149,7 @@ def test_piece_encoder_on_random_texts(remember, block):
     for at in range(0, len(texts), 50):
         for t, ids in zip(texts[at : at + 50], enc.encode(texts[at : at + 50])):
             assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
-    assert enc.encode([]) == []
+    assert enc.encode([]) == [] and enc.sizes(texts) == [len(x) // 4 for x in enc.encode(texts)]
 
 
 def test_token_counts(spark, odd):
@@ -158,7 +158,7 @@ def test_token_counts(spark, odd):
     want = sorted((str(r["doc_id"]), count(t := r["text"] or ""), count(apply_edits(t, standard_edits(t)))) for r in odd.collect())
     got = edited_counts(odd, common.word_tokenizer_path()).collect()
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_tokens_after"]) for r in got) == want and all(r["n_reencoded"] <= 3 * r["n_edits"] for r in got)
-    enc, r = common.WordEncoder(common.word_tokenizer_path()), random.Random(2)
+    enc, r = PieceEncoder(common.word_tokenizer_path()), random.Random(2)
     for _ in range(30):
         text = "".join(r.choice("ab  \n1!é") for _ in range(r.randint(0, 200)))
         tree = SegmentTree(text, enc, 16)
