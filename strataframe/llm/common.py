@@ -6,7 +6,6 @@ import os
 import re
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..scratch import dropping_tables, work_dir, written
 
-__all__ = ["BLANKS", "REMEMBERED", "SHINGLE", "SIMILARITY", "WordEncoder", "ascii_words", "dropping_tables", "encoder", "forget_words", "map_texts", "row_key", "small_batches", "table", "word_tokenizer_path", "work_dir", "written"]
+__all__ = ["BLANKS", "REMEMBERED", "SHINGLE", "SIMILARITY", "ascii_words", "dropping_tables", "forget_words", "map_texts", "row_key", "small_batches", "table", "word_tokenizer_path", "work_dir", "written"]
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -92,106 +91,8 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Words of characters below U+0130 that are no blanks: there lower-casing goes by character and NFC changes nothing.
-_PLAIN = re.compile("[!-~\xa1-\u012f]+")
-#: The pre-tokenizer's pattern, with its letter and number classes written out for such characters.
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f0-9\xb2\xb3\xb9\xbc-\xbe]+")
-
-
-#: What keeps a text from being lower-cased and split as a whole: other blanks, and characters outside the plain range.
-_NOT_PLAIN = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u0130-\\U0010ffff]|<\\|")
-
-
-def _words(text: str) -> list[str]:
-    """ascii_words(), lower-cased already where the tokenizer would do exactly that."""
-    return ascii_words(text) if _NOT_PLAIN.search(text) else text.lower().split()
-
-
-class WordEncoder:
-    """Ids by words between ASCII blanks, each encoded once while it is remembered.
-
-    Right for `word_bpe_49k.json`, which drops white space and never joins text across it. A new word of plain
-    characters is cut into the tokenizer's own pieces, which are remembered too; many new pieces go to the tokenizer as
-    one text and are told apart by the mark of a word's end. Other words go to it as they are. Memory is bounded by
-    `remember` words and as many pieces.
-    """
-
-    def __init__(self, path: str, remember: int = 600_000):
-        self.tok, self.remember, self.known, self.pieces = _tokenizer(path), remember, {}, {}
-        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
-        for token, i in self.tok.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-
-    def _encode_pieces(self, new: list[str]) -> None:
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(part):
-                found = [ids[a:b].tobytes() for a, b in zip([0, *cut[:-1].tolist()], cut.tolist())]
-            else:
-                found = [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(part, add_special_tokens=False)]
-            self.pieces.update(zip(part, found))
-
-    def learn(self, lists: list[list[str]]) -> None:
-        """Make sure that all words of the lists are known."""
-        new = {w for ws in lists for w in ws if w not in self.known}
-        if len(self.known) + len(new) > self.remember:
-            self.known.clear()
-            new = {w for ws in lists for w in ws}
-        self._add(new)
-
-    def _add(self, new: set[str]) -> None:
-        known = self.known
-        cut, whole = {}, []
-        for w in new:
-            # Most are plain letters, perhaps with one other character after them; isalpha() is the letter class there.
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                low = w.lower()
-                if low.isalpha():
-                    cut[w] = (low,)
-                elif (head := low[:-1]).isalpha() and not low[-1].isalpha():
-                    cut[w] = (head, low[-1])
-                else:
-                    cut[w] = _PIECE.findall(low)
-            else:
-                whole.append(w)
-        missing = {p for ps in cut.values() for p in ps if p not in self.pieces}
-        if len(self.pieces) + len(missing) > self.remember:
-            self.pieces.clear()
-            missing = {p for ps in cut.values() for p in ps}
-        self._encode_pieces(list(missing))
-        pieces = self.pieces
-        for w, ps in cut.items():
-            known[w] = pieces[ps[0]] if len(ps) == 1 else pieces[ps[0]] + pieces[ps[1]] if len(ps) == 2 else b"".join([pieces[p] for p in ps])
-        if whole:
-            for w, e in zip(whole, self.tok.encode_batch(whole, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        lists = [_words(t) for t in texts]
-        found = [list(map(self.known.get, ws)) for ws in lists]
-        open_ = [i for i, ids in enumerate(found) if None in ids]
-        new = {w for i in open_ for w, x in zip(lists[i], found[i]) if x is None}
-        if len(self.known) + len(new) > self.remember:  # the words of this batch stay: they are mostly the common ones
-            known = self.known
-            self.known = {w: known[w] for w in {w for ws in lists for w in ws} if w in known}
-        self._add(new)
-        known = self.known
-        for i in open_:
-            found[i] = [known[w] if x is None else x for w, x in zip(lists[i], found[i])]
-        return [b"".join(ids) for ids in found]
-
-
-@lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker."""
-    return WordEncoder(path)
-
-
 #: What a worker remembers of tokenizers; modules with encoders of their own add theirs.
-REMEMBERED = [encoder, _tokenizer]
+REMEMBERED = [_tokenizer]
 
 
 def forget_words() -> None:

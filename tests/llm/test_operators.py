@@ -123,20 +123,20 @@ def test_packing_one_length_in_many_parts(spark):
     assert len({(r["sequence_id"], r["offset"]) for r in out}) == 3000 and len({r["sequence_id"] for r in out}) == 1500
 
 
-def test_word_encoder_on_random_words():
+def test_piece_encoder_on_random_words():
     path, r = common.word_tokenizer_path(), random.Random(6)
     alphabet = [chr(c) for c in [*range(33, 127), *range(0xA0, 0x180), 0x301, 0x130, 0x3A3, 0x3C2, 0x2126, 0x4E2D]] + ["'s", "'ll", "<|endoftext|>", "the", "thing"]
     texts = ["".join(r.choice(alphabet) + (" " if r.random() < 0.2 else "") for _ in range(40)) for _ in range(1500)]
-    enc = common.WordEncoder(path, 500)
+    enc = PieceEncoder(path, 500)
     for t, ids in zip(texts, enc.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == common._tokenizer(path).encode(t, add_special_tokens=False).ids, t
 
 
 @pytest.mark.parametrize("text", ["", " ", "a b", "Hello\x1cWorld  it's 12345 <|endoftext|> é é x!!??", "it 's\n\n\tI'LL don't x", "ß 漢字かな 1½² ퟿"])
-def test_word_encoder(text):
+def test_piece_encoder(text):
     path = common.word_tokenizer_path()
     want = common._tokenizer(path).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(common.WordEncoder(path).encode([text])[0], "<u4").tolist() == want
+    assert np.frombuffer(PieceEncoder(path).encode([text])[0], "<u4").tolist() == want
 
 
 @pytest.mark.parametrize("remember, block", [(1_000_000, 1 << 20), (50, 64)])
