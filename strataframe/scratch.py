@@ -45,6 +45,21 @@ def dropping_tables(spark: SparkSession) -> Iterator[None]:
         del _TABLES[first:]
 
 
+@contextlib.contextmanager
+def each_key_in_one_task(spark: SparkSession) -> Iterator[None]:
+    """What is written inside keeps rows dealt by fewer columns than a join has keys where they are, and drops its shuffle
+    files when it has ended. Both are settings of the session, put back after."""
+    inside = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {name: spark.conf.get(name, None) for name in inside}
+    try:
+        for name, value in inside.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A path for a table that is removed when the application ends, or before by `dropping_tables` unless `keep`."""
     path = f"{work_dir(spark)}/strataframe/{name}-{uuid.uuid4().hex}"

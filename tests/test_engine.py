@@ -217,6 +217,19 @@ def test_null_draws_pay_what_runs_pay(spark, sf_dir):
         assert daily.agg(F.sum("borrow")).first()[0] > 0
 
 
+def test_null_draws_come_in_batches_and_small_plans(spark, sf_dir):
+    """Batches change no ratio; the plan that is left holds the real run and the draws' ratios, not the shuffled panels."""
+    p = fx.panel_compound(spark, sf_dir).where("date < DATE'1996-01-01'")
+    cfg = replace(CFG, oos_start="1995-06-01", oos_end="1995-12-31")
+    test = sim.null_test(p, sg.quad_reversal, cfg, 5)
+    assert test._jdf.queryExecution().sparkPlan().toString().count("FileScan") <= 12
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    whole, ones = (dict(sim.null_draws(p, sg.quad_reversal, cfg, 5, rows).collect()) for rows in (10**9, 1))
+    assert sorted(whole) == sorted(ones) == list(range(5)) and all(math.isclose(whole[k], ones[k], rel_tol=1e-9) for k in whole)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+    assert math.isclose(test.first()["mean"], sum(whole.values()) / 5, rel_tol=1e-9)
+
+
 def test_budget():
     with TimeBudget(5) as b:
         pass
