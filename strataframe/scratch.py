@@ -46,10 +46,11 @@ def dropping_tables(spark: SparkSession) -> Iterator[None]:
 
 
 @contextlib.contextmanager
-def each_key_in_one_task(spark: SparkSession) -> Iterator[None]:
+def each_key_in_one_task(spark: SparkSession, tasks: int | None = None) -> Iterator[None]:
     """What is written inside keeps rows dealt by fewer columns than a join has keys where they are, and drops its shuffle
-    files when it has ended. Both are settings of the session, put back after."""
+    files when it has ended; `tasks` sets how many tasks it deals rows to. All are settings of the session, put back after."""
     inside = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    inside |= {"spark.sql.shuffle.partitions": str(tasks)} if tasks else {}
     before = {name: spark.conf.get(name, None) for name in inside}
     try:
         for name, value in inside.items():

@@ -256,6 +256,31 @@ def test_toxicity(spark, odd):
     assert net is None and {r["score"] for r in score_toxicity(odd, net, limits).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_all_labelled_documents(spark, monkeypatch):
+    """Long ones too, and more than any number of rows: each is in one block, however the input is dealt."""
+    from strataframe.llm import toxicity
+
+    rows = [(i, prose(4100 if i % 2 else 30, i) + (" vilebad" if i % 4 < 2 else "")) for i in range(120)]
+    lab = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(120)], "doc_id long, toxic int")
+    net, _ = train_toxicity(docs(spark, rows).where("doc_id % 2 = 1"), lab)
+    got = {r["doc_id"]: r["predicted"] for r in score_toxicity(docs(spark, rows), net, {}).collect()}
+    assert sum(got[i] == (i % 4 < 2) for i in range(1, 120, 2)) >= 55
+    monkeypatch.setattr(toxicity, "BLOCK", 10)
+    twice = docs(spark, rows + rows[:7])
+    blocks = toxicity.feature_blocks(twice, lab, 12).collect()
+    assert len(blocks) >= 10 and sorted(bytes(f) for b in blocks for f in b["f"]) == sorted(word_features(t) for _, t in rows)
+    nets = [train_toxicity(twice, lab)[0]]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        nets.append(train_toxicity(twice.repartition(7), lab)[0])
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "7"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all((nets[0].values()[k] == v).all() for k, v in nets[1].values().items())
+    got = {r["doc_id"]: r["predicted"] for r in score_toxicity(docs(spark, rows), nets[0], {}).collect()}
+    assert sum(got[i] == (i % 4 < 2) for i in got) >= 110
+
+
 def test_toxicity_trains_on_words_whose_parts_share_a_bucket():
     word = "agbjgxyz"
     assert len(set(word_parts(word))) < len(word_parts(word))
