@@ -10,6 +10,9 @@ import numpy as np
 from .common import BLANKS, REMEMBERED, _tokenizer
 
 BLOCK_BYTES = 1 << 20
+#: What remembered ids and long pieces may take; beyond that all are forgotten before the next block.
+HELD_BYTES = 32 << 20
+_LONG_BYTES = 250  # of a long piece in the dictionary, besides its own bytes
 _BLANK, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
 _SHORT = 15  # bytes of a key: 15 and the length
 #: A special token of the tokenizer: text on both sides of it is encoded apart.
@@ -43,7 +46,8 @@ class PieceEncoder:
     Right for `word_bpe_49k.json`, which lower-cases, drops white space and never joins text across it or across pieces.
     Words of plain characters are cut into pieces by the classes of their bytes; other words go to the tokenizer as they are.
     Keys of up to 15 bytes are compared as a whole, never by hash alone; longer ones are kept in a dictionary. Memory is
-    bounded: `remember` pieces of each kind, and about 40 bytes for a byte of a block. A text longer than a block is
+    bounded: `remember` pieces of each kind, `HELD_BYTES` of ids and long pieces and what one block adds (scripts without
+    blanks make whole sentences into pieces), and about 40 bytes for a byte of a block. A text longer than a block is
     cut at blanks, so only a word longer than that is one block. Empty texts have no ids.
     """
 
@@ -60,7 +64,7 @@ class PieceEncoder:
         size = 1 << self.bits
         self.low, self.high = np.zeros(size, np.uint64), np.zeros(size, np.uint64)  # a free place has high 0
         self.first, self.number = np.zeros(size, np.int64), np.zeros(size, np.int32)
-        self.pool, self.used, self.kept, self.long = np.zeros(1 << 16, "<u4"), 0, 0, {}
+        self.pool, self.used, self.kept, self.long, self.long_bytes = np.zeros(1 << 16, "<u4"), 0, 0, {}, 0
 
     def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         h = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -188,6 +192,8 @@ class PieceEncoder:
 
     def _block(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the pieces of a block, where the ids of each are in the pool, and how many."""
+        if 4 * self.used + self.long_bytes > HELD_BYTES:
+            self._forget()
         raw += b" " + bytes(16)
         start, end, odd, text = self._cut(raw)
         size = end - start
@@ -216,7 +222,9 @@ class PieceEncoder:
             far = is_long[rows]
             near = rows[~far]
             self._insert(low[near], high[near], first[~far], number[~far])
-            self.long.update(zip([p for p, (_, x) in new.items() if x], zip(first[far].tolist(), number[far].tolist())))
+            keys = [p for p, (_, x) in new.items() if x]
+            self.long.update(zip(keys, zip(first[far].tolist(), number[far].tolist())))
+            self.long_bytes += sum(map(len, keys)) + _LONG_BYTES * len(keys)
         near = missing[~is_long[missing]]
         slot[near] = self._look_up(low[near], high[near])
         first, number = self.first[slot], self.number[slot].astype(np.int64)

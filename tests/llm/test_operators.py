@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from strataframe.llm import common
+from strataframe.llm import common, piece_encoder
 from strataframe.llm.components import components
 from strataframe.llm.decontaminate import SQL as DECONTAMINATION_SQL
 from strataframe.llm.decontaminate import contaminated, decontaminate
@@ -152,6 +152,18 @@ def test_piece_encoder_on_random_texts(remember, block):
     assert enc.encode([]) == [] and enc.sizes(texts) == [len(x) // 4 for x in enc.encode(texts)]
 
 
+def test_piece_encoder_holds_bounded_bytes(monkeypatch):
+    """Texts of long words that never come again: what is remembered stays within the bound and one block, the ids are those of the tokenizer."""
+    monkeypatch.setattr(piece_encoder, "HELD_BYTES", 1 << 16, raising=False)
+    path, r = common.word_tokenizer_path(), random.Random(8)
+    enc, tok = PieceEncoder(path, block=1 << 12), common._tokenizer(path)
+    for _ in range(40):
+        texts = ["the same words " + " ".join("".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(60)) for _ in range(8)) for _ in range(5)]
+        for t, ids in zip(texts, enc.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert 4 * enc.used + sum(map(len, enc.long)) < (1 << 16) + 16 * (1 << 12) and enc.pool.nbytes <= 1 << 18
+
+
 def test_token_counts(spark, odd):
     tok = common._tokenizer(common.word_tokenizer_path())
     count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
