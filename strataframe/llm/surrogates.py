@@ -97,60 +97,70 @@ def _chars(text: Column, one) -> Column:
     return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
 
 
-def _surrogate(key: str) -> Column:
-    """The surrogate of `unit` of `kind` at `attempt`: digits for digits, letters for letters of their script and case, the
-    rest kept. Addresses and names grow with the attempt, so that they cannot run out; other kinds keep their length."""
-    seed = F.concat_ws("\x1f", F.lit(key), "kind", "unit", F.col("attempt").cast("string"))
-    stream = F.concat(F.sha2(seed, 256), F.sha2(F.concat(F.lit("more"), seed), 256))
+def _with_surrogates(units: DataFrame, key: str) -> DataFrame:
+    """(kind, unit, attempt) with the surrogate of `unit` of `kind` at `attempt`: digits for digits, letters for letters of
+    their script and case, the rest kept. Addresses and names grow with the attempt, so that they cannot run out; other kinds
+    keep their length. What the forms share is made in columns, once a row: written out in each form it makes a plan of
+    megabytes of text, which the driver holds many times over."""
+    kind, unit, attempt = F.col("kind"), F.col("unit"), F.col("attempt")
+    seed = F.concat_ws("\x1f", F.lit(key), "kind", "unit", attempt.cast("string"))
+    stream, numbers, letters = F.col("__stream"), F.col("__numbers"), F.col("__letters")
+    consonants, vowels, end = F.col("__consonants"), F.col("__vowels"), F.col("__end")
 
     def number(i, modulo):
         """Three bytes of the stream, which is read again from the start where it ends, with the round mixed in."""
-        at = (i % 60 * 2 + 1).cast("int")
-        return ((F.conv(stream.substr(at, F.lit(6)), 16, 10).cast("long") + F.floor(i / 60) * 7919) % modulo).cast("int")
+        return ((F.get(numbers, (i % 60).cast("int")) + F.floor(i / 60) * 7919) % modulo).cast("int")
+
+    def like(c, i):
+        code = 97 + number(i, 26)
+        for script, first, n in reversed(SCRIPTS):
+            code = F.when(c.rlike(script), first + number(i, n)).otherwise(code)
+        # Code points beyond 255 come from their UTF-16 form.
+        small = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+        return F.when(c.rlike("[0-9]"), number(i, 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(small)).when(c.rlike(r"\p{L}"), small).otherwise(c)
+
+    def by_script(of):
+        """What `of` takes from the first of `SYLLABLES` whose script `unit` holds, else null."""
+        out = F.lit(None).cast("string")
+        for script, *rest in reversed(SYLLABLES):
+            out = F.when(unit.rlike(script or r"\p{IsLatin}"), of(*rest)).otherwise(out)
+        return out
+
+    made = units.withColumns({
+        "__stream": F.concat(F.sha2(seed, 256), F.sha2(F.concat(F.lit("more"), seed), 256)),
+        "__consonants": by_script(lambda c, v, e: F.lit(c)), "__vowels": by_script(lambda c, v, e: F.lit(v)),
+        "__end": by_script(lambda c, v, e: F.when(kind == "given_f", e[0]).when(kind == "given_m", e[1]).otherwise(e[2])),
+    })
+    # What letters are made for; names without syllables of their script get a letter more each attempt.
+    text = F.when(kind == "email", F.substring_index(unit, "@", 1)).when(kind.isin("card", "phone", "ssn", "key", "iban"), unit)
+    text = text.when(~kind.isin("ip", "ip6", "secret") & consonants.isNull(), F.substr(F.repeat(unit, 16), F.lit(1), (F.length(unit) + attempt).cast("int")))
+    three = lambda i: F.conv(stream.substr((i * 2 + 1).cast("int"), F.lit(6)), 16, 10).cast("long")
+    made = made.withColumns({"__numbers": F.transform(F.sequence(F.lit(0), F.lit(59)), three), "__text": text})
+    made = made.withColumn("__letters", _chars(F.col("__text"), like))
 
-    def like(text):
-        def one(c, i):
-            small = F.char(97 + number(i, 26))
-            for script, first, n in reversed(SCRIPTS):
-                # Code points beyond 255 come from their UTF-16 form.
-                small = F.when(c.rlike(script), F.decode(F.unhex(F.lpad(F.hex(first + number(i, n)), 4, "0")), "UTF-16BE")).otherwise(small)
-            return F.when(c.rlike("[0-9]"), number(i, 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(small)).when(c.rlike(r"\p{L}"), small).otherwise(c)
-
-        return _chars(text, one)
-
-    unit, attempt = F.col("unit"), F.col("attempt")
-    local = F.substring_index(unit, "@", 1)
     tag = F.substr(F.conv(F.sha2(F.concat(F.lit("tag"), seed), 256).substr(1, 15), 16, 10), F.lit(1), (2 + 2 * attempt).cast("int"))
-    email = F.concat(like(local), F.lit("@mail"), tag, F.lit(".example.org"))
+    email = F.concat(letters, F.lit("@mail"), tag, F.lit(".example.org"))
     ip = F.concat_ws(".", (number(F.lit(0), 223) + 1).cast("string"), number(F.lit(3), 256).cast("string"), number(F.lit(6), 256).cast("string"), (number(F.lit(9), 254) + 1).cast("string"))
     ip6 = _chars(unit, lambda c, i: F.when(c.rlike("[0-9a-f]"), F.lower(F.hex((number(i, 15) + 1).cast("long")))).otherwise(c))
     plain = F.regexp_replace(unit, "[^0-9]", "")
-    free = like(unit)
-    digits = F.regexp_replace(free, "[^0-9]", "")
+    digits = F.regexp_replace(letters, "[^0-9]", "")
     body = digits.substr(F.lit(1), F.length(digits) - 1)
     check = ((10 - _luhn(body, 0) % 10) % 10).cast("string")
-    card = F.when(_luhn(plain, 1) % 10 == 0, F.concat(free.substr(F.lit(1), F.length(free) - 1), check)).otherwise(free)
+    card = F.when(_luhn(plain, 1) % 10 == 0, F.concat(letters.substr(F.lit(1), F.length(letters) - 1), check)).otherwise(letters)
     prefix = F.regexp_extract(unit, r"^\+\d{1,3}|^0", 0)
-    phone = F.concat(prefix, F.substr(free, F.length(prefix) + 1))
+    phone = F.concat(prefix, F.substr(letters, F.length(prefix) + 1))
     start = F.regexp_extract(unit, "^(?:" + "|".join(KEY_STARTS) + ")", 0)
-    access = F.concat(start, F.substr(free, F.length(start) + 1))
-    country, account = unit.substr(1, 2), F.substr(free, F.lit(5))
+    access = F.concat(start, F.substr(letters, F.length(start) + 1))
+    country, account = unit.substr(1, 2), F.substr(letters, F.lit(5))
     iban = F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account)
     secret = F.repeat(stream, F.ceil(F.length(unit) / 128).cast("int")).substr(F.lit(1), F.length(unit))
-
-    def word(consonants, vowels, ends):
-        """Syllables, one more each attempt, and an ending by gender for given names."""
-        pair = lambda i: F.concat(*[F.lit(x).substr(number(2 * i + k, len(x)) + 1, F.lit(1)) for k, x in enumerate((consonants, vowels))])
-        end = F.when(F.col("kind") == "given_f", ends[0]).when(F.col("kind") == "given_m", ends[1]).otherwise(ends[2])
-        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), 2 + attempt), pair), ""), end)
-
-    name = F.concat(free, F.substr(like(F.repeat(unit, 16)), F.length(unit) + 1, attempt))
-    for script, *letters in reversed(SYLLABLES):
-        name = F.when(unit.rlike(script or r"\p{IsLatin}"), word(*letters)).otherwise(name)
-    out = name
-    for kind, value in {"email": email, "ip": ip, "ip6": ip6, "card": card, "phone": phone, "ssn": free, "key": access, "iban": iban, "secret": secret}.items():
-        out = F.when(F.col("kind") == kind, value).otherwise(out)
-    return out
+    # Syllables, one more each attempt, and an ending by gender for given names.
+    pair = lambda i: F.concat(*[x.substr(number(2 * i + k, F.length(x)) + 1, F.lit(1)) for k, x in enumerate((consonants, vowels))])
+    word = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), 2 + attempt), pair), ""), end)
+    out = F.when(consonants.isNull(), letters).otherwise(word)
+    for name, value in {"email": email, "ip": ip, "ip6": ip6, "card": card, "phone": phone, "ssn": letters, "key": access, "iban": iban, "secret": secret}.items():
+        out = F.when(kind == name, value).otherwise(out)
+    return made.select(*units.columns, out.alias("surrogate"))
 
 
 def _worded(kind: Column, old: Column, new: Column) -> Column:
@@ -178,7 +188,8 @@ def surrogate_units(units: DataFrame, key: str) -> DataFrame:
     done, todo = [], written(units.distinct().withColumn("attempt", F.lit(0)), "units")
     real = todo.select(F.col("kind"), F.col("unit").alias("surrogate"), F.lit(True).alias("real"))
     for _ in range(ROUNDS):
-        tried = todo.withColumn("surrogate", _surrogate(key))
+        # Written, for it is read twice.
+        tried = written(_with_surrogates(todo, key), "tried")
         first = tried.groupBy("kind", "surrogate").agg(F.min("unit").alias("winner"))
         taken = reduce(DataFrame.unionByName, [real.select("kind", "surrogate"), *[d.select("kind", "surrogate") for d in done]]).distinct()
         judged = tried.join(first, ["kind", "surrogate"]).join(taken.withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left")

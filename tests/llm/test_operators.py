@@ -791,6 +791,17 @@ def test_surrogates_collide_and_stay_apart(spark):
     assert not {(r["kind"], r["surrogate"]) for r in out} & {(r["kind"], r["unit"]) for r in out}
 
 
+def test_surrogates_make_small_plans(spark):
+    """The driver holds the text of each plan many times over: it must not grow by writing shared parts out in each form."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    units = spark.createDataFrame([("ssn", f"000-00-{i:04d}") for i in range(50)] + [("surname", "王小明"), ("given_f", "anna")], "kind string, unit string")
+    assert surrogate_units(units, "k").count() == 52
+    plans = store.executionsList(int(before), 1000)
+    sizes = [len(plans.apply(i).physicalPlanDescription()) for i in range(plans.size())]
+    assert sizes and max(sizes) < 100_000
+
+
 def test_pieces_digest(spark):
     r = token_pieces(docs(spark, [(1, "")]), common.word_tokenizer_path()).first()
     assert tuple(r) == (1, 0, 0, 1, zlib.crc32(b"\0\0\0\0")) and hashlib.sha256(b"").hexdigest()
