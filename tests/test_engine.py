@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 from dataclasses import replace
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataframe import fixtures as fx
+from strataframe import scratch
 from strataframe.config import BacktestConfig, borrow_bps
 from strataframe.functions import stats
 from strataframe.operators import backtest as bt
@@ -380,6 +382,14 @@ def test_stream_of_trials(spark, tmp_path):
     assert sorted(r[0] for r in spark.sql("select ast_sha256 from trials").collect()) == ["h1", "h2"]
 
 
+def test_written_tables_have_no_checksum_files(spark):
+    table = scratch.written(spark.range(0, 1000, 1, 4), "plain")
+    (folder,) = {os.path.dirname(f.removeprefix("file://")) for f in table.inputFiles()}
+    assert sum(f.endswith(".parquet") for f in os.listdir(folder)) == 4
+    assert not [f for f in os.listdir(folder) if f.endswith(".crc")]
+    assert sorted(r[0] for r in table.collect()) == list(range(1000))
+
+
 def test_defaults():
     c = BacktestConfig()
     assert (c.oos_start, c.embargo_days, c.bootstrap_draws, len(c.folds)) == ("2020-01-01", 21, 200, 5)
